@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import mixing, packing, readability, sampling, tokens
+from cohortlab.llm import mixing, neighbours, overlap, packing, readability, sampling, tokens
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -33,6 +33,31 @@ def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _near(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.neighbours(_read(spark, folder, "dl_train_data").select("vec_id", "x_train"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.pairs(_near(spark, folder))
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return _near(spark, folder)
+
+
+def _across(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    evaluation = _read(spark, folder, "validation_data")
+    return overlap.cross_split(_read(spark, folder, "train_augmented2_data"), evaluation), evaluation
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _across(spark, folder)[0].select("train_sample_id", "validation_sample_id")
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.report(*_across(spark, folder))
+
+
 def _capacity(spark: SparkSession, folder: str, spec: str = "train_pack") -> int:
     return _read(spark, folder, "container_specs").where(F.col("spec_name") == spec).first()["capacity_tokens"]
 
@@ -67,7 +92,7 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_sample, p7_found, p7_containers, p8_found, p8_mixture, p9_found, p9_levels)}
+    return {f.__name__: f for f in (p1_found, p1_sample, p3_found, p3_neighbours, p6_found, p6_report, p7_found, p7_containers, p8_found, p8_mixture, p9_found, p9_levels)}
 
 
 def oracle_sql() -> dict[str, str]:
