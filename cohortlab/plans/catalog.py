@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cohortlab.plans import quality
+from cohortlab.plans import clinical, evaluation, imaging, quality
+
+MODULES = (evaluation, clinical, imaging, quality)
 
 
 def queries() -> dict:
-    return dict(quality.QUERIES)
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(quality.ORACLES)
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
