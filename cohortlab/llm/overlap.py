@@ -193,7 +193,7 @@ def cross_split(train: DataFrame, evaluation: DataFrame, key: str = "sample_id",
     checked = (
         likely.join(stored(train, "t"), "t")
         .join(stored(evaluation, "v"), "v")
-        .withColumn("correlation", correlation("t_picture", "v_picture", "mirror"))
+        .withColumn("correlation", correlation.asNondeterministic()("t_picture", "v_picture", "mirror"))  # so that the filter does not run it twice
         .where(F.col("correlation") >= alike)
         .groupBy("t", "v")
         .agg(F.max("overlap").alias("overlap"), F.max("correlation").alias("correlation"))

@@ -57,4 +57,5 @@ def with_token_counts(documents: DataFrame, text: str = "text", name: str = "n_t
         for texts in batches:
             yield pd.Series(sizes(texts.fillna("").tolist()), dtype="int64")
 
-    return documents.withColumn(name, count(F.col(text)))
+    # marked non-deterministic: a filter on the count would else be pushed below and count twice
+    return documents.withColumn(name, count.asNondeterministic()(F.col(text)))
