@@ -16,7 +16,7 @@ def binary_label(code: Column) -> Column:
 
 def stem(path: Column) -> Column:
     """Lower-cased base name without its last suffix; a leading full stop is no suffix."""
-    base = F.regexp_extract(path, r"([^/]*)\z", 1)
+    base = F.substring_index(path, "/", -1)
     return F.lower(F.regexp_replace(base, r"(?s)(?<=.)\.[^.]*+\z", ""))
 
 

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 #: One field: a quoted one, in which a doubled quote is a quote, or a bare one.
 FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^ \t"]++)'
 LINE = rf"\A{FIELD}(?:[ \t]++{FIELD})*+\z"
-TRIM = r"\A[ \t\r]++|[ \t\r]++\z"
+#: Dropped at both ends of a line.
+ENDS = " \t\r"
 
 #: Pseudo-columns of the cells that describe a whole line.
 QUOTING, WIDTH = "quoting", "column_count"
@@ -50,7 +51,7 @@ def line_rules(fields: Sequence[str], patterns: dict[str, str]) -> list[Rule]:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, TRIM, "")
+    return F.btrim(line, F.lit(ENDS))
 
 
 def _unquoted(cell: Column) -> Column:

@@ -24,7 +24,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def label_fields(line: Column) -> tuple[Column, Column]:
     """File name and code of a blank-separated line; the code is null if it is no whole number."""
-    parts = F.split(F.regexp_replace(line, r"\A\s++|\s++\z", ""), r"\s+")
+    parts = F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), r"\s+")
     code = F.get(parts, F.lit(1))
     return F.get(parts, F.lit(0)), F.when(code.rlike(r"\A[+-]?[0-9]{1,18}\z"), code).try_cast("long")
 
