@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -40,9 +41,10 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, suffix, length) of all files below a folder. The contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1)).alias("suffix"), "length")
+    """(path, suffix) of all files below a folder, empty ones included, names starting with _ or . not. Nothing is read: the paths are those of the file index, which planning any scan builds."""
+    index = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).inputFiles()
+    paths = spark.createDataFrame([(unquote(p),) for p in index], "path string")
+    return paths.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1)))
 
 
 def folder_counts(files: DataFrame, root: str, path: str = "path", majors: tuple[str, ...] = FOLDERS) -> DataFrame:
