@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS = 1024
 
 
 def hash_bucket(seed: Column | int, *cols: Column, buckets: int = BUCKETS) -> Column:
