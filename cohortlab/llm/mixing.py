@@ -103,14 +103,17 @@ def _step(land: bool):
 def needs(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """Per listed source: tokens, documents, the tokens it needs, and whether it can reach its share; whole numbers decide."""
     have = documents.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count(F.lit(1)).alias("source_docs"))
-    joined = targets.where(F.col("source").isNotNull()).join(have, "source", "left").fillna(0, ["source_tokens", "source_docs"])
+    joined = targets.join(have, "source", "left").fillna(0, ["source_tokens", "source_docs"])
     total = joined.agg(F.sum("source_tokens").alias("all_tokens"))
     return joined.crossJoin(F.broadcast(total)).withColumn("reachable", F.col("max_repeats") * F.col("source_tokens") * 100 >= F.col("target_pct") * F.col("all_tokens")).withColumn("need_tokens", F.col("target_pct") * F.col("all_tokens") / 100)
 
 
 def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(mixture, report). ``documents`` has the key, ``source`` and ``n_tokens``; the mixture has key, source, n_tokens and copies ≥ 1."""
-    sized = documents.select(F.col(key).alias("key"), "source", F.col("n_tokens").cast("long").alias("n_tokens"))
+    kind = dict(documents.dtypes)[key]
+    # the key travels as text: a null would turn whole numbers into floats on the way through Python
+    sized = documents.select(F.col(key).cast("string").alias("key"), "source", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
+    targets = targets.where(F.col("source").isNotNull()).fillna(0, ["target_pct", "max_repeats"])
     need = materialize(needs(sized, targets), "needs")
     uses = F.least(F.try_divide("need_tokens", "source_tokens"), F.col("max_repeats").cast("double"))
     rates = need.select("source", F.floor(uses).alias("whole"), (uses - F.floor(uses)).alias("chance"), F.ceil(F.col("source_docs") / BLOCK).alias("blocks")).where(F.col("whole").isNotNull())
@@ -118,7 +121,7 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id") -> tuple[
     drawn = sized.join(rates, "source").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.greatest("blocks", F.lit(1))))
     sure = drawn.where(F.col("chance") <= EDGE).select("key", "source", "n_tokens", F.col("whole").alias("copies"))
     flying = drawn.where(F.col("chance") > EDGE).select("key", "source", "n_tokens", "whole", "chance", "block")
-    schema = "key long, source string, n_tokens long, whole long, chance double, block long"
+    schema = "key string, source string, n_tokens long, whole long, chance double, block long"
     parts, level = [], 1
     while True:
         moved = materialize(flying.groupBy("source", "block").applyInPandas(_step(False), schema), "flight")
@@ -139,4 +142,4 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id") -> tuple[
     report = need.join(got, "source", "left").fillna(0, ["actual_tokens", "actual_docs", "most_copies"])
     everything = F.sum("actual_tokens").over(Window.partitionBy(F.lit(0)))  # over the listed sources only
     report = report.select("source", "target_pct", "max_repeats", "source_docs", "source_tokens", F.col("need_tokens"), "actual_docs", "actual_tokens", "most_copies", (100 * F.try_divide("actual_tokens", "all_tokens")).alias("pct_of_goal"), (100 * F.try_divide("actual_tokens", everything)).alias("actual_pct"), "reachable")
-    return mixture.withColumnRenamed("key", key), report
+    return mixture.withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key), report

@@ -11,8 +11,10 @@ buckets are taken whole up to a cut, and only the bucket at the cut is ranked.
 Defined results: a record is one distinct non-null key of a batch, however
 often it is repeated; rows without a target category make no record available;
 a batch without rows gives an empty sample and a report of unmet categories;
-a request whose target set is unknown gives nothing; ties among equally good
-exchanges go to the lowest signature.
+a request whose target set is unknown, or without id, gives nothing; a missing
+or negative sample size is 0, a missing share or floor is 0; ties among equally
+good exchanges go to the lowest signature. Two requests with one id are drawn
+as one.
 """
 
 from __future__ import annotations
@@ -86,6 +88,8 @@ def sample(requests: DataFrame, records: DataFrame, targets: DataFrame) -> tuple
     category, target_pct, min_keep. The sample has request_id, batch_id, key;
     the report a row per request and category of its target set.
     """
+    requests = requests.where(F.col("request_id").isNotNull()).withColumns({"sample_size": F.greatest(F.coalesce("sample_size", F.lit(0)), F.lit(0))})
+    targets = targets.where(F.col("category").isNotNull()).fillna(0, ["target_pct", "min_keep"])
     wanted = targets.select("category").distinct()
     # one record per batch and key; the set of a record's categories is no larger than that of all categories
     signed = (
@@ -100,6 +104,7 @@ def sample(requests: DataFrame, records: DataFrame, targets: DataFrame) -> tuple
     by_batch = counts.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("signature", "n"))).alias("signatures"))
     sets = targets.groupBy("target_set").agg(F.array_sort(F.collect_list(F.struct("category", "target_pct", "min_keep"))).alias("targets"))
     tasks = requests.select("request_id", "target_set", "batch_id", "sample_size").join(sets, "target_set").join(by_batch, "batch_id", "left")
+    tasks = tasks.withColumn("batch_id", F.col("batch_id").cast("string"))  # a null would turn whole numbers into floats on the way through Python
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -122,7 +127,7 @@ def sample(requests: DataFrame, records: DataFrame, targets: DataFrame) -> tuple
                 rows.append((r.request_id, r.batch_id, int(take.sum()) if len(n) else 0, quota, lines))
             yield pd.DataFrame(rows, columns=["request_id", "batch_id", "sampled_size", "quota", "lines"])
 
-    schema = "request_id long, batch_id long, sampled_size long, quota array<struct<signature:array<bigint>,n:bigint,take:bigint>>, lines array<struct<category:bigint,need:bigint,available:bigint,sampled:bigint>>"
+    schema = "request_id long, batch_id string, sampled_size long, quota array<struct<signature:array<bigint>,n:bigint,take:bigint>>, lines array<struct<category:bigint,need:bigint,available:bigint,sampled:bigint>>"
     solved = materialize(tasks.repartition("request_id").mapInPandas(solve, schema), "quotas")
     report = (
         solved.select("request_id", "sampled_size", F.explode("lines").alias("_l"))
@@ -130,7 +135,7 @@ def sample(requests: DataFrame, records: DataFrame, targets: DataFrame) -> tuple
         .withColumn("met", F.col("available") >= F.col("need"))
         .withColumn("sampled_pct", 100 * F.try_divide("sampled", "sampled_size"))
     )
-    quotas = solved.select("request_id", "batch_id", F.explode("quota").alias("_q")).select("request_id", "batch_id", "_q.signature", "_q.take").where("take > 0")
+    quotas = solved.select("request_id", F.col("batch_id").cast("long").alias("batch_id"), F.explode("quota").alias("_q")).select("request_id", "batch_id", "_q.signature", "_q.take").where("take > 0")
     return draw(signed, quotas), report
 
 

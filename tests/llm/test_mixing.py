@@ -61,3 +61,10 @@ def test_exact_limit_and_empty(spark):
     assert all(r.reachable for r in report.collect()) and mixture.count() == 2
     mixture, report = mixing.mix(docs.limit(0), spark.createDataFrame([("a", 100, 1)], TARGETS))
     assert mixture.count() == 0 and report.first().actual_pct is None
+
+
+def test_nulls_in_any_column(spark):
+    docs = spark.createDataFrame([(None, "a", 50), (2**60 + 1, "a", None), (3, None, 5), (2**60 + 3, "a", 70), (None, "a", 50)], DOCS)
+    mixture, report = mixing.mix(docs, spark.createDataFrame([("a", 50, 1), (None, 50, 1), ("b", None, None)], TARGETS))
+    assert {r.doc_id for r in mixture.collect()} <= {None, 2**60 + 1, 2**60 + 3}
+    assert {r.source: r.reachable for r in report.collect()} == {"a": True, "b": True}

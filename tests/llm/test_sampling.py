@@ -78,3 +78,11 @@ def test_empty(spark):
 def test_stem(spark, name, stem):
     df = spark.createDataFrame([(name,)], "f string")
     assert df.select(sampling.stem(df.f).alias("s")).first().s == stem
+
+
+def test_nulls_in_any_column(spark):
+    targets = spark.createDataFrame([("t", 0, 60, None), ("t", 1, None, 2), ("t", None, 40, 1), (None, 0, 1, 1)], TARGETS)
+    requests = spark.createDataFrame([(1, "t", 1, 6), (None, "t", 1, 6), (2, None, 1, 6), (3, "t", None, 6), (4, "t", 1, None)], REQUESTS)
+    drawn, report = sampling.sample(requests, table(spark), targets)
+    assert {r.request_id for r in drawn.collect()} == {1} and drawn.count() == 6
+    assert {(r.request_id, r.category, r.met) for r in report.collect()} == {(1, 0, True), (1, 1, True), (3, 0, False), (3, 1, False), (4, 0, True), (4, 1, True)}
