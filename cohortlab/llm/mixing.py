@@ -113,6 +113,7 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id") -> tuple[
     kind = dict(documents.dtypes)[key]
     # the key travels as text: a null would turn whole numbers into floats on the way through Python
     sized = documents.select(F.col(key).cast("string").alias("key"), "source", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
+    sized = materialize(sized, "sized")  # else the token counts would be worked out for the needs and again for the draw
     targets = targets.where(F.col("source").isNotNull()).fillna(0, ["target_pct", "max_repeats"])
     need = materialize(needs(sized, targets), "needs")
     uses = F.least(F.try_divide("need_tokens", "source_tokens"), F.col("max_repeats").cast("double"))
