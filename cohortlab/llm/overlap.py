@@ -36,6 +36,8 @@ from cohortlab.session import materialize
 CHANNELS, SIDE, ALIKE = 3, 16, 0.97
 #: Signs per order, number of orders, chunk lengths, rolling window, and one cut in so many positions.
 SIGNS, ORDERS, SHORTEST, LONGEST, WINDOW, CUT = 48, 16, 20, 24, 8, 4
+#: Pictures worked on at once within an Arrow batch, which bounds a worker's memory.
+PART = 1024
 #: Pairs sharing less of their records than this are not checked further; 0 keeps every pair that shares a chunk.
 LEAST_OVERLAP = 0.0
 MIRRORS = ("as stored", "left-right", "top-bottom", "both")
@@ -112,27 +114,29 @@ def records(table: DataFrame, key: str, picture: str, mirrors: tuple[int, ...])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            if not len(frame):
-                continue
-            stored = np.stack(frame["picture"].to_numpy()).astype(np.float32) + np.float32(0)
-            waves, usable = transform(stored)
-            ids = frame["id"].to_numpy()[usable]
-            content = [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in stored[usable]]
-            for mirror in mirrors:
-                turned = waves[usable] * parity(mirror)
-                rows, digests, lengths = chunks(turned)
-                order = np.argsort(rows, kind="stable")
-                ends = np.cumsum(np.bincount(rows, minlength=len(ids)))[:-1]
-                yield pd.DataFrame(
-                    {
-                        "id": ids,
-                        "content": content,
-                        "mirror": np.int32(mirror),
-                        "low": list(turned[:, 0].astype(np.float32)),
-                        "digests": np.split(digests[order].view(np.int64), ends) if len(ids) else [],
-                        "lengths": np.split(lengths[order].astype(np.int32), ends) if len(ids) else [],
-                    }
-                )
+            for begin in range(0, len(frame), PART):
+                yield from part(frame.iloc[begin : begin + PART])
+
+    def part(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        stored = np.stack(frame["picture"].to_numpy()).astype(np.float32) + np.float32(0)
+        waves, usable = transform(stored)
+        ids = frame["id"].to_numpy()[usable]
+        content = [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in stored[usable]]
+        for mirror in mirrors:
+            turned = waves[usable] * parity(mirror)
+            rows, digests, lengths = chunks(turned)
+            order = np.argsort(rows, kind="stable")
+            ends = np.cumsum(np.bincount(rows, minlength=len(ids)))[:-1]
+            yield pd.DataFrame(
+                {
+                    "id": ids,
+                    "content": content,
+                    "mirror": np.int32(mirror),
+                    "low": list(turned[:, 0].astype(np.float32)),
+                    "digests": np.split(digests[order].view(np.int64), ends) if len(ids) else [],
+                    "lengths": np.split(lengths[order].astype(np.int32), ends) if len(ids) else [],
+                }
+            )
 
     whole = table.where(F.col(key).isNotNull() & (F.size(picture) == size) & ~F.exists(picture, lambda x: x.isNull()))
     return whole.select(F.col(key).alias("id"), F.col(picture).alias("picture")).mapInPandas(run, schema)
@@ -180,15 +184,17 @@ def cross_split(train: DataFrame, evaluation: DataFrame, key: str = "sample_id",
 
     @F.pandas_udf("double")
     def correlation(a: pd.Series, b: pd.Series, mirror: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="float64")
+        parts = [pearson(*(c.iloc[begin : begin + PART] for c in (a, b, mirror))) for begin in range(0, len(a), PART)]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
+
+    def pearson(a: pd.Series, b: pd.Series, mirror: pd.Series) -> np.ndarray:
         x = np.stack(a.to_numpy()).astype(np.float64)
         y = np.stack(b.to_numpy()).astype(np.float64).reshape(-1, CHANNELS, SIDE, SIDE)
         which = mirror.to_numpy()[:, None, None, None]
         y = np.where(which & 1, y[..., ::-1], y)
         y = np.where(which >> 1, y[:, :, ::-1], y).reshape(len(x), -1)
         x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
-        return pd.Series((x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1)))
+        return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
 
     checked = (
         likely.join(stored(train, "t"), "t")
