@@ -4,8 +4,8 @@ Plan: a file's state is its latest log entry; folders with at least two small
 live files are merged. Rewrite: the records of those files are shuffled under an
 adaptive REBALANCE hint, so that runtime statistics merge or split the output
 partitions near the target size. Commit: the output is moved into place only
-after its multiset checksum per folder (count, sum and xor of two row hashes)
-equals that of the source; otherwise it is deleted and nothing changes.
+after its multiset checksums (count, sum and xor of two row hashes, per folder and
+source file) equal those of the source; otherwise it is deleted and nothing changes.
 
 Defined results: records without a file, or of a file that is not merged, stay
 where they are; a merged file without records is listed with 0 rows; repeated
@@ -50,9 +50,9 @@ def _checksum(df: DataFrame) -> list[Column]:
     ]
 
 
-def checksums(df: DataFrame) -> DataFrame:
-    """The multiset checksum per folder; any order and any split into files gives the same."""
-    return df.groupBy("folder").agg(*_checksum(df))
+def checksums(df: DataFrame, by: tuple[str, ...] = ("folder", "file_id")) -> DataFrame:
+    """The multiset checksum per folder and source file; any order and any split into output files gives the same."""
+    return df.groupBy(*by).agg(*_checksum(df))
 
 
 def compact(records: DataFrame, merge: DataFrame, target: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
@@ -72,16 +72,15 @@ def compact(records: DataFrame, merge: DataFrame, target: str, target_bytes: int
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     schema = chosen.select(*[c for c in chosen.columns if c != "folder"], F.col("folder").cast("string")).schema
     written = spark.read.schema(schema).parquet(f"{staging}/data").select(*chosen.columns)
-    source, result = checksums(chosen), checksums(written)
-    pairs = source.withColumnsRenamed({c: f"s_{c}" for c in source.columns}).join(result, F.col("s_folder") == F.col("folder"), "full")
+    source, result = checksums(chosen), materialize(checksums(written), "checksums")
+    pairs = source.withColumnsRenamed({c: f"s_{c}" for c in source.columns}).join(result, (F.col("s_folder") == F.col("folder")) & (F.col("s_file_id") == F.col("file_id")), "full")
     same = F.lit(True)
     for name in source.columns:
         same = same & F.col(name).eqNullSafe(F.col(f"s_{name}"))
     if not pairs.where(~same).isEmpty():
         delete_path(spark, staging)
         raise RuntimeError("the rewritten records differ from the source; nothing was committed")
-    per_file = written.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    merge.join(per_file, "file_id", "left").select("file_id", "folder", "size_bytes", "n_records", F.coalesce("n_rows", F.lit(0)).alias("n_rows")).write.mode("overwrite").parquet(f"{staging}/manifest")
+    merge.join(result.select("file_id", "n_rows"), "file_id", "left").select("file_id", "folder", "size_bytes", "n_records", F.coalesce("n_rows", F.lit(0)).alias("n_rows")).write.mode("overwrite").parquet(f"{staging}/manifest")
     fs, at = hadoop_fs(spark, staging)
     fs.delete(hadoop_fs(spark, target)[1], True)
     if not fs.rename(at, hadoop_fs(spark, target)[1]):

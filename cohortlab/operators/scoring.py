@@ -38,6 +38,11 @@ def formula_weights(outputs: int, inputs: int, phase: int = 0) -> Layer:
     return np.sin(at) / np.sqrt(inputs), np.sin(np.arange(outputs) + 1 + phase) / 10
 
 
+def parameter_count(layers: Sequence[Layer]) -> int:
+    """Weights and biases of a network."""
+    return sum(weights.size + bias.size for weights, bias in layers)
+
+
 def network(layers: Sequence[Layer], relu_last: bool):
     """x → the layers with ReLU between them; dropout is the identity when scoring."""
 

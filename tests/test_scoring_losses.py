@@ -26,6 +26,7 @@ def test_networks(spark):
     logits = df.select("id", scoring.shared_backbone(F.col("x"), clin, [scoring.formula_weights(3, 4)], scoring.formula_weights(1, 3)).alias("z")).orderBy("id").collect()
     w, b = scoring.formula_weights(3, 4)
     assert np.allclose([r.z for r in logits], (np.maximum(c @ w.T + b, 0) @ scoring.formula_weights(1, 3)[0].T + scoring.formula_weights(1, 3)[1])[:, 0])
+    assert scoring.parameter_count(clin) == 6 * 5 + 5 + 5 * 4 + 4
     with pytest.raises(ValueError):
         scoring.modality("sound", {"image": 1})
 
