@@ -93,7 +93,9 @@ def label_binary_map(spark, folder):
 
 
 def label_validity_gate(spark, folder):
-    return labels.valid_lists(_lists(spark, folder), "list_id", "label").groupBy("list_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(labels.binary_label(F.col("label"))).cast("long").alias("malignant"))
+    """Every list with its rows, and the rows and malignant pictures that pass the gate: all or none."""
+    accepted = labels.valid_lists(_lists(spark, folder), "list_id", "label").groupBy("list_id").agg(F.count(F.lit(1)).alias("accepted_rows"), F.sum(labels.binary_label(F.col("label"))).cast("long").alias("malignant"))
+    return _lists(spark, folder).groupBy("list_id").agg(F.count(F.lit(1)).alias("n_rows")).join(accepted, "list_id", "left").fillna(0, ["accepted_rows"])
 
 
 def label_collapse(spark, folder):
@@ -204,7 +206,7 @@ ORACLES = {
     "standardize_train_fit": _CAPPED + ", s as (select " + ", ".join(f"avg({c}) as {c}_m, coalesce(nullif(stddev_pop({c}), 0), 1) as {c}_s" for c in NUMERIC) + " from capped where \"set\" = 'train') select row_id, \"set\", " + ", ".join(f"round(({c} - {c}_m) / {c}_s, 6) as {c}" for c in NUMERIC) + " from capped cross join s",
     "clinical_feature_vector": _CAPPED + f", l as (select {_levels('menopause_status')} as m, {_levels('figo_stage')} as f), x as (select row_id, y, list_concat([{', '.join((*NUMERIC, *(c + '::double' for c in PASSTHROUGH)))}], list_transform(m, lambda v: coalesce((v = menopause_status)::int, 0)::double), list_transform(f, lambda v: coalesce((v = figo_stage)::int, 0)::double)) as x from capped cross join l) select row_id, y, len(x)::int as width, len(list_filter(x, lambda v: v is null))::int as missing, round(list_sum(list_transform(x, lambda v, i: coalesce(v, 0) * i)), 6) as position_sum from x",
     "label_binary_map": f"select row_id, ({_BIN})::int as binary_label from train_cls",
-    "label_validity_gate": f"select list_id, count(*) as n_rows, sum({_BIN})::bigint as malignant from train_cls group by list_id having bool_and({_BIN} is not null)",
+    "label_validity_gate": f"select list_id, count(*) as n_rows, case when bool_and({_BIN} is not null) then count(*) else 0 end as accepted_rows, case when bool_and({_BIN} is not null) then sum({_BIN})::bigint end as malignant from train_cls group by list_id",
     "label_collapse": "select row_id, case when (select max(label) from train_cls) > 1 then (label = 7)::bigint else label end as collapsed from train_cls",
     "label_dedupe_last": f"select {_STEM.format('filename')} as stem, max(row_id) as row_id, arg_max(struct_pack(l := label), row_id).l as label from train_cls group by 1",
     "label_image_lookup": f"with a as (select {_STEM.format('filename')} as stem, max(row_id) as row_id, arg_max(struct_pack(l := label), row_id).l as label from train_cls group by 1) select row_id, sample_id, a.stem, label from a join (select sample_id, {_STEM.format('filename')} as stem from train_augmented2_data where aug_k = 0) i on i.stem = a.stem",
