@@ -6,9 +6,13 @@ frequencies in several fixed orders (of the grey mean and of single channels).
 A rolling hash over the last ``WINDOW`` signs cuts the record into chunks; chunk
 digests are joined across splits and the lengths of shared chunks are summed
 into an overlap fraction per pair. Mirroring a picture only flips known signs,
-so the evaluation side is entered in four positions. Pairs that share a chunk
-are then checked: first by an upper bound of their correlation from the low
-frequencies alone, which loses nothing, then exactly on all stored values.
+so the evaluation side is entered in four positions. A change that spreads over
+all frequencies (a patch, noise equal in all channels) can leave a near pair
+without a common chunk, so blocks of both sides are also compared in full by an
+upper bound of the correlation from the low frequencies alone, which loses
+nothing; such pairs have an overlap of 0. Candidates from either way are then
+checked exactly on all stored values. The comparison in blocks costs a product
+of the two sides' distinct pictures.
 
 Equal pictures are one class, found by a 128-bit content digest, so copies are
 chunked, joined and checked once.
@@ -40,6 +44,10 @@ SIGNS, ORDERS, SHORTEST, LONGEST, WINDOW, CUT = 48, 16, 20, 24, 8, 4
 PART = 1024
 #: Pairs sharing less of their records than this are not checked further; 0 keeps every pair that shares a chunk.
 LEAST_OVERLAP = 0.0
+#: Pictures in a block of the training and of the evaluation side that are compared in full.
+BLOCK_T, BLOCK_V = 8192, 32768
+#: Low frequencies compared first, the others for the pairs left; and what rounding may take from a bound.
+FIRST, SLACK = 16, 1e-4
 MIRRORS = ("as stored", "left-right", "top-bottom", "both")
 
 
@@ -159,6 +167,49 @@ def _length_left(low):
     return F.sqrt(F.greatest(F.lit(0.0), 1 - squares))
 
 
+def _bounded(low: np.ndarray, first: int) -> np.ndarray:
+    """The ``first`` low frequencies and the length of all the rest: the product of two such rows is at least their correlation."""
+    part = low[:, :first]
+    return np.concatenate([part, np.sqrt(np.maximum(0, 1 - (part.astype(np.float64) ** 2).sum(1, keepdims=True)))], axis=1).astype(np.float32)
+
+
+def likely_in_block(t: np.ndarray, v: np.ndarray, alike: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows of t, rows of v, mirror) of the pairs of low-frequency rows whose bound reaches ``alike``."""
+    some_t, all_t = _bounded(t, FIRST), _bounded(t, SIGNS)
+    for mirror in range(len(MIRRORS)):
+        turned = v * parity(mirror).astype(np.float32)
+        some_v, all_v = _bounded(turned, FIRST), _bounded(turned, SIGNS)
+        for begin in range(0, len(v), PART):
+            for at in range(0, len(t), PART):
+                i, j = np.nonzero(some_t[at : at + PART] @ some_v[begin : begin + PART].T >= alike - SLACK)
+                i, j = i + at, j + begin
+                kept = np.einsum("ij,ij->i", all_t[i], all_v[j]) >= alike - SLACK
+                if kept.any():
+                    yield i[kept], j[kept], mirror
+
+
+def compared(left: DataFrame, right: DataFrame, alike: float) -> DataFrame:
+    """(t, v, mirror) of all classes whose low frequencies allow a correlation of ``alike``: every block of ``left`` with every block of ``right``."""
+    n_t, n_v = left.count(), right.where("mirror = 0").count()
+    blocks_t, blocks_v = max(1, -(-n_t // BLOCK_T)), max(1, -(-n_v // BLOCK_V))
+    block = lambda n: F.pmod(F.xxhash64("id", F.lit(21)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ours = left.select("id", "low", block(blocks_t).alias("bt"), every(blocks_v).alias("bv"))
+    theirs = right.where("mirror = 0").select("id", "low", block(blocks_v).alias("bv"), every(blocks_t).alias("bt"))
+    parts = max(min(2 * blocks_t * blocks_v, 20_000), left.sparkSession.sparkContext.defaultParallelism)
+    ours, theirs = ours.repartition(parts, "bt", "bv"), theirs.repartition(parts, "bt", "bv")  # a given number: small blocks hold much work, and are not to be merged into one task
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(a) and len(b):
+            found = list(likely_in_block(np.stack(a["low"].to_numpy()), np.stack(b["low"].to_numpy()), alike))
+        ids_t, ids_v = a["id"].to_numpy(), b["id"].to_numpy()
+        columns = {"t": [ids_t[i] for i, _, _ in found], "v": [ids_v[j] for _, j, _ in found], "mirror": [np.full(len(i), m, dtype=np.int32) for i, _, m in found]}
+        return pd.DataFrame({name: np.concatenate(c) if c else [] for name, c in columns.items()})
+
+    return ours.groupBy("bt", "bv").cogroup(theirs.groupBy("bt", "bv")).applyInPandas(run, "t long, v long, mirror int")
+
+
 def cross_split(train: DataFrame, evaluation: DataFrame, key: str = "sample_id", picture: str = "images", alike: float = ALIKE) -> DataFrame:
     """(train_sample_id, validation_sample_id, overlap, correlation): every pair of a training and an evaluation picture whose values correlate by at least ``alike`` in some mirroring."""
     ours, theirs = materialize(records(train, key, picture, (0,)), "train-records"), materialize(records(evaluation, key, picture, (0, 1, 2, 3)), "evaluation-records")
@@ -172,9 +223,11 @@ def cross_split(train: DataFrame, evaluation: DataFrame, key: str = "sample_id",
         .where(F.col("overlap") >= LEAST_OVERLAP)
         .join(low_t, "t")
         .join(low_v, ["v", "mirror"])
-        .where(most >= alike - 1e-4)
+        .where(most >= alike - SLACK)
         .select("t", "v", "mirror", "overlap")
     )
+    others = compared(left, right, alike).withColumn("overlap", F.lit(0.0))
+    likely = likely.unionByName(others).groupBy("t", "v", "mirror").agg(F.max("overlap").alias("overlap"))
     likely = materialize(likely, "likely-pairs")
 
     def stored(table: DataFrame, name: str) -> DataFrame:

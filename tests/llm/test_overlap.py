@@ -43,6 +43,33 @@ def test_found_as_brute_force(spark):
     assert report["holdout", None].samples == 60 and report["holdout", None].exact == 1 and report["validation", "x"].overlapping == 0
 
 
+def test_patches_and_grey_noise_are_found(spark):
+    rng = np.random.default_rng(11)
+    base = [picture(rng) for _ in range(300)]
+
+    def patched(x):
+        noise = np.zeros_like(x)
+        noise[:, 5:10, 6:11] = rng.normal(size=(3, 5, 5))
+        return noise
+
+    def added(x, noise, alike):
+        for _ in range(40):  # noise is not quite orthogonal to the picture: scaled until the correlation fits
+            a, b = (y - y.mean() for y in (x, x + noise))
+            now = (a * b).sum() / np.linalg.norm(a) / np.linalg.norm(b)
+            noise = noise * (np.sqrt(1 / alike**2 - 1) / np.sqrt(1 / min(now, 1 - 1e-9) ** 2 - 1))
+        return x + noise
+
+    kinds = (patched, lambda x: np.repeat(rng.normal(size=(1, 16, 16)), 3, 0))
+    evaluation = [(1000 * (k + 1) + i, added(x, kind(x), 0.9705)[:, :, :: 1 - 2 * (i % 2)], "holdout", "o") for k, kind in enumerate(kinds) for i, x in enumerate(base)]
+    t, e = rows(spark, TRAIN, *[(i, x, "a") for i, x in enumerate(base)]), rows(spark, EVALUATION, *evaluation)
+    got = {(r.train_sample_id, r.validation_sample_id): r.overlap for r in overlap.cross_split(t, e).collect()}
+    unit = lambda x: (x - x.mean()) / np.linalg.norm(x - x.mean())
+    stored = [unit(x.astype(np.float32).astype(float)) for x in base]
+    want = {(i, v) for v, x, *_ in evaluation for i in (v % 1000,) if max((stored[i] * unit(x.astype(np.float32).astype(float)[:, :, ::s])).sum() for s in (1, -1)) >= 0.97}
+    assert len(want) > 500 and want <= set(got)
+    assert min(got.values()) == 0 < max(got.values())
+
+
 def test_same_pictures_overlap_fully(spark):
     x = picture(np.random.default_rng(5))
     t, e = rows(spark, TRAIN, (1, x, "a"), (1, x, "a"), (2, x, "a")), rows(spark, EVALUATION, (9, x[:, :, ::-1], "v", "o"), (9, x[:, :, ::-1], "v", "o"))
