@@ -4,8 +4,9 @@ Checks are declared, then compiled into one grouped aggregate over one scan:
 row, null and violation counts, minimum, maximum, sum, sum of squares, a
 distinct-count sketch and class counts. The state of two sets of rows is the
 merge of their states, so a new load is added without reading the old ones.
-Metrics come from states only; each is compared with the control limits of the
-same site's earlier loads, and class shares with those of the preceding load.
+Metrics come from states only; rates, mean, range and distinct count are compared
+with the control limits of the same site's earlier loads, and class shares with
+those of the preceding load.
 
 Defined results: a null is counted as null and breaks no check; a NaN in a
 floating column is counted as null; an empty table gives an empty state table;
@@ -26,6 +27,8 @@ SHOWN = 64
 #: A load's metric is out of control beyond this many standard deviations of at least so many earlier loads.
 SIGMAS, HISTORY = 3.0, 4
 SKETCH_K = 11
+#: Half the summed share differences, in %, beyond which a load has shifted; the relative error of a distinct-count sketch.
+SHIFT_PCT, SKETCH_ERROR = 25, 1.04 / 2 ** (SKETCH_K / 2)
 
 
 @dataclass(frozen=True)
@@ -142,21 +145,25 @@ def distance_parts() -> tuple[Column, Column]:
     return apart, 2 * F.col("n_rows") * F.col("prior_rows")
 
 
-def shifted_loads(state: DataFrame, loads: DataFrame, key: str, limit_pct: int = 25) -> DataFrame:
+def shifted_loads(state: DataFrame, loads: DataFrame, key: str, limit_pct: int = SHIFT_PCT) -> DataFrame:
     """(key, column_name) of loads whose class shares lie further than ``limit_pct`` % from those of the preceding load."""
     apart, whole = distance_parts()
     return _prior(state, loads, key).where(F.col("prior_rows").isNotNull() & (F.size("classes") > 0)).where(apart * 100 > whole * limit_pct).select(key, "column_name")
 
 
 def metrics(state: DataFrame, loads: DataFrame, key: str) -> DataFrame:
-    """The profile: rates, distinct counts, range, mean, distance from the preceding load, and control-limit tests of the null and violation rates.
-
-    A rate is out of control if it lies more than ``SIGMAS`` standard deviations
-    from the mean of the same site's earlier loads, of which at least
-    ``HISTORY`` must exist; the deviation counts as no less than that of a
-    proportion estimated from the load's rows.
+    """The profile: rates, distinct counts, range, mean, distance from the preceding load, whether that is a shift, and control-limit tests.
+
+    A rate, a mean, an end of a range or a distinct count is out of control if
+    it lies more than ``SIGMAS`` standard deviations from the mean of the same
+    site's earlier loads, of which at least ``HISTORY`` must have it. The
+    deviation counts as no less than the metric's own error: for rates that of a
+    proportion estimated from the load's rows, for means that of a mean of as
+    many values with the earlier loads' variance, for distinct counts that of
+    the sketch. Texts have no mean, and the ends of their range are not tested.
     """
     apart, whole = distance_parts()
+    filled = F.col("n_rows") - F.col("n_null")
     broken = F.aggregate("broken", F.lit(0).cast("bigint"), lambda total, x: total + x["n"])
     out = _prior(state, loads, key).select(
         key,
@@ -169,17 +176,28 @@ def metrics(state: DataFrame, loads: DataFrame, key: str) -> DataFrame:
         F.round(F.hll_sketch_estimate("sketch")).cast("bigint").alias("distinct_estimate"),
         F.coalesce(F.col("low").cast("string"), F.col("first_text")).alias("lowest"),
         F.coalesce(F.col("high").cast("string"), F.col("last_text")).alias("highest"),
-        F.try_divide("total", F.col("n_rows") - F.col("n_null")).alias("mean"),
+        F.try_divide("total", filled).alias("mean"),
         broken.alias("n_broken"),
         (broken / F.col("n_rows")).alias("broken_rate"),
         F.when(F.col("prior_rows").isNotNull() & (F.size("classes") > 0), apart / whole).alias("prior_distance"),
+        F.when(F.col("prior_rows").isNotNull() & (F.size("classes") > 0), apart * 100 > whole * SHIFT_PCT).alias("shifted"),
+        F.col("low").alias("_low"),
+        F.col("high").alias("_high"),
+        F.when(filled > 0, F.greatest(F.lit(0.0), F.try_divide("squares", filled) - F.pow(F.try_divide("total", filled), 2))).alias("_variance"),
     )
     earlier = Window.partitionBy("site_id", "column_name").orderBy("loaded_at", key).rowsBetween(Window.unboundedPreceding, -1)
-    for rate in ("null_rate", "broken_rate"):
-        mean, spread, seen = F.avg(rate).over(earlier), F.stddev_samp(rate).over(earlier), F.count(rate).over(earlier)
-        least = F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-4)) / F.col("n_rows"))
-        out = out.withColumn(f"{rate}_out", F.when(F.col("site_id").isNotNull() & (seen >= HISTORY), F.abs(F.col(rate) - mean) > SIGMAS * F.greatest(spread, least)))
-    return out
+    metric = {"null_rate": "null_rate", "broken_rate": "broken_rate", "mean": "mean", "lowest": "_low", "highest": "_high", "distinct": "distinct_estimate"}
+    for name, of in metric.items():
+        mean, spread, seen = F.avg(of).over(earlier), F.stddev_samp(of).over(earlier), F.count(of).over(earlier)
+        rounding = 1e-9 * F.greatest(F.abs(mean), F.lit(1.0))
+        least = {
+            "mean": F.greatest(rounding, F.sqrt(F.try_divide(F.avg("_variance").over(earlier), F.col("n_rows") - F.col("n_null")))),
+            "lowest": rounding,
+            "highest": rounding,
+            "distinct": F.lit(SKETCH_ERROR) * mean,
+        }.get(name, F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-4)) / F.col("n_rows")))
+        out = out.withColumn(f"{name}_out", F.when(F.col("site_id").isNotNull() & (seen >= HISTORY), F.abs(F.col(of) - mean) > SIGMAS * F.greatest(spread, least)))
+    return out.drop("_low", "_high", "_variance")
 
 
 def violations(df: DataFrame, key: str, checks: Sequence[Check]) -> DataFrame:
@@ -210,8 +228,53 @@ def clinical_suite() -> Suite:
     )
 
 
+#: Columns and the form of their texts, their codes, and their possible values with the limits of the bins compared between loads.
+FORMS = {"record_id": r"\AR[0-9]{10}\z", "patient_id": r"\AOC-[0-9]{8}\z", "site_id": r"\AS[0-9]{2,}\z"}
+CODES = {"menopause_status": ("pre", "peri", "post"), "figo_stage": ("I", "II", "III", "IV"), "family_history": ("0", "1"), "ultrasound_score": ("0", "1", "2", "3", "4", "5")}
+#: Highest possible values leave out the sentinel 9999 of ca125, lowest ones -1; bins are narrow enough that another unit moves a load to others.
+BINS = {
+    "age": (0, 120, (30, 40, 50, 60, 70)),
+    "ca125": (0, 9998, (10, 20, 35, 65, 150)),
+    "he4": (0, 5000, (40, 60, 80, 110, 150)),
+    "tumor_size_mm": (0, 500, (15, 30, 45, 60, 80)),
+    "bmi": (10, 80, (18.5, 22, 25, 28, 32)),
+}
+
+
+def profile_suite(columns: Sequence[str]) -> Suite:
+    """Checks and classes of all clinical columns among ``columns``, those of ``clinical_suite`` included; expects the load's ``_loaded_at`` and ``_load_site``."""
+    own = clinical_suite()
+    checks, classes = list(own.checks), list(own.classes)
+
+    def valid_or_not(name: str, finding: str, broken: Column) -> None:
+        checks.append(Check(finding, name, broken))
+        classes.append(Classes(name, ("null", "violating", "valid"), F.when(F.col(name).isNull(), "null").when(F.coalesce(broken, F.lit(False)), "violating").otherwise("valid")))
+
+    for name in (c for c in columns if c in FORMS):
+        elsewhere = F.coalesce(F.col(name) != F.col("_load_site"), F.lit(False)) if name == "site_id" else F.lit(False)
+        valid_or_not(name, "pattern", ~F.col(name).rlike(FORMS[name]) | elsewhere)
+    for name in (c for c in columns if c in CODES):
+        code, known = F.col(name).cast("string"), F.col(name).cast("string").isin(*CODES[name])
+        checks.append(Check("domain", name, code.isNotNull() & ~known))
+        classes.append(Classes(name, ("null", *CODES[name], "other"), F.when(code.isNull(), "null").when(known, code).otherwise("other")))
+    for name in (c for c in columns if c in BINS):
+        low, high, limits = BINS[name]
+        value = F.col(name).cast("double")
+        missing, outside = value.isNull() | F.isnan(value), ~value.between(low, high)
+        bins = F.when(missing, "null").when(outside, "violating")
+        for limit in limits:
+            bins = bins.when(value < limit, f"under {limit}")
+        checks.append(Check("range", name, ~missing & outside))
+        classes.append(Classes(name, ("null", "violating", *[f"under {limit}" for limit in limits], "above"), bins.otherwise("above")))
+    if "row_id" in columns:
+        valid_or_not("row_id", "range", F.col("row_id") < 0)
+    if "ingested_at" in columns:
+        valid_or_not("ingested_at", "range", F.col("ingested_at").cast("timestamp_ntz") < F.coalesce("_loaded_at", F.lit(EARLIEST).cast("timestamp_ntz")))
+    return Suite(checks, classes)
+
+
 def with_load_time(records: DataFrame, loads: DataFrame) -> DataFrame:
-    return records.join(loads.select("load_id", F.col("loaded_at").cast("timestamp_ntz").alias("_loaded_at")), "load_id", "left")
+    return records.join(loads.select("load_id", F.col("loaded_at").cast("timestamp_ntz").alias("_loaded_at"), F.col("site_id").alias("_load_site")), "load_id", "left")
 
 
 def clinical_findings(records: DataFrame, loads: DataFrame) -> DataFrame:
@@ -225,5 +288,5 @@ def clinical_findings(records: DataFrame, loads: DataFrame) -> DataFrame:
 
 def clinical_profile(records: DataFrame, loads: DataFrame) -> DataFrame:
     """The profile of every column of the clinical records, per load."""
-    columns = [c for c in records.columns if c not in ("row_id", "load_id")]
-    return metrics(states(with_load_time(records, loads), "load_id", columns, clinical_suite()), loads, "load_id")
+    columns = [c for c in records.columns if c != "load_id"]
+    return metrics(states(with_load_time(records, loads), "load_id", columns, profile_suite(columns)), loads, "load_id")

@@ -57,6 +57,30 @@ def test_profile_values_and_control_limits(spark):
     assert out[7].null_rate_out is True and out[6].null_rate_out is False and out[2].null_rate_out is None
 
 
+def test_every_column_is_checked_and_compared(spark):
+    schema = RECORDS + ", record_id string, site_id string, ca125 double, he4 double, menopause_status string, figo_stage string, ultrasound_score long, ingested_at timestamp"
+    rows = []
+    for load in range(8):
+        for i in range(100):
+            bad, last = load == 7 and i < 60, load == 7
+            ca125 = 9999.0 if last and i == 99 else 30.0 + i % 20 + load % 2
+            rows.append(
+                (100 * load + i, load, "2020-01-01 00:00:00", 0, 999.0 if last and i == 98 else 40.0 + i % 30, "R1" if last and i < 3 else f"R{100 * load + i:010d}", "T" if last and i < 2 else "S01", ca125)
+                + ((60.0 + i % 9) / (1000 if bad else 1), "Post " if bad else "post", "iii" if last and i < 5 else None, i % 6, datetime(2020, 1, 1) if last and i < 4 else datetime(2021, 1, 20))
+            )
+    chain = spark.createDataFrame([(i, "S01", i - 1 if i else None, datetime(2021, 1, 1 + i)) for i in range(8)], LOADS)
+    profile = profiling.clinical_profile(spark.createDataFrame(rows, schema), chain)
+    out = {r.column_name: r for r in profile.where("load_id = 7").collect()}
+    assert {c: out[c].n_broken for c in out if out[c].n_broken} == {"age": 1, "record_id": 3, "site_id": 2, "ca125": 1, "menopause_status": 60, "figo_stage": 5, "ingested_at": 4}
+    assert "row_id" in out and all(r.prior_distance is not None for r in out.values())
+    assert {c for c in out if out[c].shifted} == {"menopause_status", "he4"}
+    assert out["he4"].mean_out and out["he4"].lowest_out and not out["he4"].highest_out
+    assert out["ca125"].highest_out and out["ca125"].mean_out and out["age"].highest_out and out["menopause_status"].distinct_out
+    assert not out["ultrasound_score"].mean_out and not out["ultrasound_score"].distinct_out and not out["ultrasound_score"].shifted
+    before = {r.column_name: r for r in profile.where("load_id = 6").collect()}
+    assert not any(before[c].n_broken or before[c].shifted or before[c].highest_out or before[c].distinct_out for c in before if c != "row_id")
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], RECORDS)
     assert profiling.clinical_findings(empty, loads(spark, (1, None, 5))).count() == 0
