@@ -149,13 +149,12 @@ def train_logistic_head(spark, folder):
     return _trained(spark, folder, models.logistic_head())
 
 
-#: The catalogue's tree models are kept small; ``models.TREES`` is the full setting.
 def train_random_forest(spark, folder):
-    return _trained(spark, folder, models.random_forest(trees=30, depth=10), models.FOREST_WEIGHT)
+    return _trained(spark, folder, models.random_forest(), models.FOREST_WEIGHT)
 
 
 def train_gbt(spark, folder):
-    return _trained(spark, folder, models.gradient_boosting(trees=15, depth=4))
+    return _trained(spark, folder, models.gradient_boosting())
 
 
 def train_late_fusion(spark, folder):
