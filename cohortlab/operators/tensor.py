@@ -64,6 +64,9 @@ def flip_tb(tensor: Column, width: int, height: int) -> Column:
 
 # ---- pictures of uint8 values, [height, width, channels] -------------------
 
+#: Pictures worked on at once within an Arrow batch, which bounds a worker's memory.
+PART = 64
+
 
 def _kernel(x: np.ndarray, lobes: int = 3) -> np.ndarray:
     return np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
@@ -127,20 +130,23 @@ def picture_step(df: DataFrame, key: str, data: str, width: str, height: str, ta
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", tensor array<int>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            rows = []
-            for values in frame.itertuples(index=False):
-                row = dict(zip(frame.columns, values))
-                pixels = np.asarray(row[data], dtype=np.uint8) if row[data] is not None else np.zeros(0, np.uint8)
-                w, h = int(row[width]), int(row[height])
-                if w < 1 or h < 1 or pixels.size != w * h * 3:
-                    continue
-                pixels = pixels.reshape(h, w, 3)
-                number = int(row[copy]) if copy else 1
-                if augment and number > 0:
-                    seed = int.from_bytes(str((row[key], number)).encode()[-8:], "little")
-                    pixels = augment_pixels(pixels, np.random.default_rng(seed))
-                rows.append((*[row[c] for c in columns], letterbox_pixels(pixels, target).ravel().astype(np.int32)))
-            yield pd.DataFrame(rows, columns=[*columns, "tensor"])
+        for whole in batches:
+            yield from (part(whole.iloc[begin : begin + PART]) for begin in range(0, len(whole), PART))
+
+    def part(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for values in frame.itertuples(index=False):
+            row = dict(zip(frame.columns, values))
+            pixels = np.asarray(row[data], dtype=np.uint8) if row[data] is not None else np.zeros(0, np.uint8)
+            w, h = int(row[width]), int(row[height])
+            if w < 1 or h < 1 or pixels.size != w * h * 3:
+                continue
+            pixels = pixels.reshape(h, w, 3)
+            number = int(row[copy]) if copy else 1
+            if augment and number > 0:
+                seed = int.from_bytes(str((row[key], number)).encode()[-8:], "little")
+                pixels = augment_pixels(pixels, np.random.default_rng(seed))
+            rows.append((*[row[c] for c in columns], letterbox_pixels(pixels, target).ravel().astype(np.int32)))
+        return pd.DataFrame(rows, columns=[*columns, "tensor"])
 
     return df.select(*columns, data, width, height).mapInPandas(run, schema)

@@ -50,12 +50,12 @@ def _summary(df):
 
 
 def image_letterbox(spark, folder):
-    return _summary(tensor.picture_step(_pixels(spark, folder), "sample_id", "pixels", "width", "height", target=28))
+    return _summary(tensor.picture_step(_pixels(spark, folder), "sample_id", "pixels", "width", "height"))
 
 
 def image_augment(spark, folder):
-    copies = balance.augment_expand(_pixels(spark, folder), "labels", copies=2)
-    return _summary(tensor.picture_step(copies, "sample_id", "pixels", "width", "height", target=28, augment=True, copy="copy"))
+    copies = balance.augment_expand(_pixels(spark, folder), "labels")
+    return _summary(tensor.picture_step(copies, "sample_id", "pixels", "width", "height", augment=True, copy="copy"))
 
 
 QUERIES = {f.__name__: f for f in (letterbox_geometry, tensor_denormalize, tensor_normalize, tensor_permute, augment_flip, image_letterbox, image_augment)}

@@ -116,3 +116,14 @@ def test_model_round_trip(spark, tmp_path):
     # without weights: the rare class is replicated first
     mlp = models.mlp_head(3, (4,), 20).fit(models.prepared(df, "x", "y", 1.0).withColumn("label", F.col("y").cast("double")))
     assert mlp.transform(models.prepared(df, "x", "y", 1.0)).count() == 200
+
+
+def test_picture_queries_make_every_copy_at_full_size(spark, monkeypatch):
+    from cohortlab.plans import imaging
+
+    few = spark.createDataFrame([(i, label, [(i + k % 7) / 10 for k in range(768)]) for i, label in ((1, 0), (2, 1), (3, None))], "sample_id long, labels long, images array<float>")
+    monkeypatch.setattr(imaging, "_images", lambda spark, folder: few)
+    boxed = imaging.image_letterbox(spark, "").collect()
+    assert sorted((r.sample_id, r.n_values) for r in boxed) == [(i, 224 * 224 * 3) for i in (1, 2, 3)]
+    copies = sorted((r.sample_id, r["copy"], r.n_values) for r in imaging.image_augment(spark, "").collect())
+    assert copies == [(i, c, 224 * 224 * 3) for i, n in ((1, 1), (2, 25), (3, 1)) for c in range(n)]
