@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Factors on negatives/positives (fixed values): two for the convolutional and the transformer head, one for their hybrid, 2.5 and 3 for the fused models.
 POS_WEIGHT_FACTORS = {"resnet": 2.0, "vit": 2.0, "hybrid": 1.0, "late_fusion": 2.5, "shared_backbone": 3.0, "boosted_trees": 1.0}
+#: Whose classes are counted for a model's weight; the pictures' where none is named.
+POS_WEIGHT_COUNTS = {"shared_backbone": ("image", "clinical"), "boosted_trees": ("clinical",)}
 #: Extra copies of a malignant training picture (fixed value).
 COPIES = 24
 
@@ -17,11 +19,15 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("ratio", F.round(F.try_divide("positives", "negatives"), 2))
 
 
-def pos_weights(df: DataFrame, label: str) -> DataFrame:
-    """(model, pos_weight): factor · negatives / positives; null without positives."""
-    balance = class_balance(df, label)
-    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(f).alias("factor")) for m, f in POS_WEIGHT_FACTORS.items()])).alias("_m")
-    return balance.select("negatives", "positives", rows).select("_m.model", (F.col("_m.factor") * F.try_divide("negatives", "positives")).alias("pos_weight"))
+def pos_weights(images: DataFrame, image_label: str, clinical: DataFrame, clinical_label: str) -> DataFrame:
+    """(model, pos_weight): factor · negatives / positives, null without positives. The shared model counts both tables, boosted trees the clinical one, all others the pictures."""
+    counted = {name: class_balance(df, label).select(F.struct("negatives", "positives").alias(name)) for name, df, label in (("image", images, image_label), ("clinical", clinical, clinical_label))}
+    lines = []
+    for model, factor in POS_WEIGHT_FACTORS.items():
+        tables = POS_WEIGHT_COUNTS.get(model, ("image",))
+        negatives, positives = (sum(F.col(f"{t}.{side}") for t in tables) for side in ("negatives", "positives"))
+        lines.append(F.struct(F.lit(model).alias("model"), (F.lit(factor) * F.try_divide(negatives, positives)).alias("pos_weight")))
+    return counted["image"].crossJoin(counted["clinical"]).select(F.explode(F.array(*lines)).alias("_m")).select("_m.*")  # one row beside one row
 
 
 def augment_expand(df: DataFrame, label: str, copies: int = COPIES, name: str = "copy") -> DataFrame:

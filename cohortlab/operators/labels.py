@@ -37,16 +37,17 @@ def last_per_key(labels: DataFrame, key: Column, order: list[str], keep: list[st
     return labels.groupBy(key.alias("stem")).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("_last")).select("stem", "_last.*")
 
 
-def label_images(labels: DataFrame, images: DataFrame) -> DataFrame:
-    """Labels joined with the pictures of the same stem; labels without picture and pictures without label fall away."""
-    return labels.join(images, "stem")
+def label_images(labels: DataFrame, images: DataFrame, order: list[str]) -> DataFrame:
+    """Labels joined with the pictures of the same stem; labels without picture and pictures without label fall away. Of pictures that share a stem the last by ``order`` counts."""
+    others = [c for c in images.columns if c != "stem"]
+    return labels.join(images.groupBy("stem").agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_last")).select("stem", *[F.col(f"_last.`{c}`") for c in others]), "stem")
 
 
 def cyclic_pairs(first: DataFrame, second: DataFrame, seed: int = 42, first_index: str = "idx", second_index: str = "idx") -> DataFrame:
     """Unpaired pairing of two tables with contiguous indices 0..n-1.
 
     As many pairs as the longer table has rows: pair i takes row i mod n of the
-    first, and a row of the second drawn with replacement by a keyed hash.
+    first, and a row of the second drawn with replacement by 60 bits of a keyed hash.
     """
     spark = first.sparkSession
     n1, n2 = (t.agg(F.count(F.lit(1))).first()[0] for t in (first, second))
@@ -54,7 +55,7 @@ def cyclic_pairs(first: DataFrame, second: DataFrame, seed: int = 42, first_inde
         ids = spark.range(0)
     else:
         ids = spark.range(max(n1, n2))
-    chance = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
+    chance = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long")
     pairs = ids.select(F.col("id").alias("pair"), (F.col("id") % max(n1, 1)).alias("_i"), (chance % max(n2, 1)).alias("_j"))
     a = first.withColumnRenamed(first_index, "_i")
     b = second.withColumnRenamed(second_index, "_j")

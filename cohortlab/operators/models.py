@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.operators.balance import POS_WEIGHT_FACTORS
@@ -65,5 +65,6 @@ def save(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(path: str):
+    """Any saved model or pipeline: its class stands in its metadata."""
+    return DefaultParamsReader.loadParamsInstance(path, SparkSession.getActiveSession())

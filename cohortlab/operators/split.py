@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.operators.joins import checked_join
-
 
 def draw(seed: int | str, key: Column) -> Column:
     """A pseudo-random order key."""
@@ -39,7 +37,7 @@ def split_stratified(df: DataFrame, key: str, label: str, share: float = 0.2, se
     """Add ``set``: 'test' for the quota of each class, 'train' for the rest."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     placed = ordered_positions(df, draw(seed, F.col(key)), "_position", [label])
-    return checked_join(placed, quotas(counts, label, share).select(label, "quota"), label).withColumn("set", F.when(F.col("_position") < F.col("quota"), "test").otherwise("train")).drop("_position", "quota")
+    return placed.join(quotas(counts, label, share).select(label, "quota"), label).withColumn("set", F.when(F.col("_position") < F.col("quota"), "test").otherwise("train")).drop("_position", "quota")
 
 
 def batch_assign(df: DataFrame, key: str, size: int, epoch: int = 0, drop_last: bool = False) -> DataFrame:

@@ -1,11 +1,18 @@
-"""Picture tensors as flat arrays: geometry, scaling, layout, flips, resampling, augmentation."""
+"""Picture tensors as flat arrays: geometry, scaling, layout, flips, resampling, augmentation.
+
+Element-wise steps run on the flat values of a whole Arrow batch, not per
+element or per row. A null tensor stays null; a null element becomes NaN in
+scaling and moves with its place in layouts.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,44 +29,100 @@ def letterbox(width: Column, height: Column, target: int = TARGET) -> list[Colum
     return [new_width.alias("new_width"), new_height.alias("new_height"), F.floor((target - new_width) / 2).cast("int").alias("left"), F.floor((target - new_height) / 2).cast("int").alias("top")]
 
 
-def _per_channel(values: Sequence[float], plane: int):
-    constants = F.array(*[F.lit(float(v)) for v in values])
-    return lambda i: F.get(constants, F.floor(i / plane).cast("int"))
+def _flat(batch: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of all lists in one array, each value's place in its list, and the offsets of the lists."""
+    sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    values = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values, np.arange(len(values)) - np.repeat(offsets[:-1], sizes), offsets
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray, like: pa.Array) -> pa.Array:
+    missing = like.is_null().to_numpy(zero_copy_only=False)
+    # a list is null where its offset is
+    starts = pa.array(offsets.astype(np.int32), mask=np.append(missing, False)) if missing.any() else pa.array(offsets.astype(np.int32))
+    return pa.ListArray.from_arrays(starts, pa.array(values))
+
+
+def _scaled(tensor: Column, change: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Column:
+    """``change(values, places)`` on every value of a batch at once."""
+
+    @F.arrow_udf("array<double>")
+    def run(batch: pa.Array) -> pa.Array:
+        values, places, offsets = _flat(batch)
+        return _lists(change(values, places), offsets, batch)
+
+    return run(tensor)
+
+
+def _moved(tensor: Column, source: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """Element ``i`` becomes the one at ``source(i)``."""
+
+    @F.arrow_udf("array<double>")
+    def run(batch: pa.Array) -> pa.Array:
+        values, places, offsets = _flat(batch)
+        return _lists(values[source(places) + (np.arange(len(values)) - places)], offsets, batch)
+
+    return run(tensor)
 
 
 def normalize(tensor: Column, plane: int, scale: float = 1.0, mean: Sequence[float] = MEAN, std: Sequence[float] = STD) -> Column:
     """(x / scale - mean) / std per channel of a C,H,W array; ``plane`` is H·W."""
-    m, s = _per_channel(mean, plane), _per_channel(std, plane)
-    return F.transform(tensor, lambda x, i: (x.cast("double") / scale - m(i)) / s(i))
+    m, s = np.array(mean), np.array(std)
+    return _scaled(tensor, lambda x, at: (x / scale - m[at // plane]) / s[at // plane])
 
 
 def denormalize(tensor: Column, plane: int, mean: Sequence[float] = MEAN, std: Sequence[float] = STD) -> Column:
     """x · std + mean, clipped to [0, 1]."""
-    m, s = _per_channel(mean, plane), _per_channel(std, plane)
-    return F.transform(tensor, lambda x, i: F.least(F.greatest(x.cast("double") * s(i) + m(i), F.lit(0.0)), F.lit(1.0)))
+    m, s = np.array(mean), np.array(std)
+    return _scaled(tensor, lambda x, at: np.clip(x * s[at // plane] + m[at // plane], 0.0, 1.0))
 
 
-def _reindex(tensor: Column, source) -> Column:
-    """The elements at ``source`` of each position. The tensor is bound as a lambda's variable, so it is evaluated once and not per element."""
-    return F.get(F.transform(F.array(tensor), lambda whole: F.transform(whole, lambda _, i: F.get(whole, source(i).cast("int")))), F.lit(0))
+def to_bytes_scale(tensor: Column) -> Column:
+    """0..1 to whole numbers 0..255, halves upwards."""
+    return _scaled(tensor, lambda x, at: np.floor(x * 255 + 0.5))
 
 
 def to_channels_last(tensor: Column, channels: int, plane: int) -> Column:
     """C,H,W → H,W,C."""
-    return _reindex(tensor, lambda i: (i % channels) * plane + F.floor(i / channels))
+    return _moved(tensor, lambda i: (i % channels) * plane + i // channels)
 
 
 def to_channels_first(tensor: Column, channels: int, plane: int) -> Column:
     """H,W,C → C,H,W."""
-    return _reindex(tensor, lambda i: (i % plane) * channels + F.floor(i / plane))
+    return _moved(tensor, lambda i: (i % plane) * channels + i // plane)
+
+
+def as_channels_first(tensor: Column, shape: Sequence[int]) -> Column:
+    """C,H,W of a stack whose pictures have ``shape``: turned if the last dimension is 1 or 3, as it is otherwise."""
+    if len(shape) != 3:
+        raise ValueError(f"a picture has three dimensions, not {len(shape)}")
+    return to_channels_first(tensor, shape[2], shape[0] * shape[1]) if shape[2] in (1, 3) else tensor
 
 
 def flip_lr(tensor: Column, width: int) -> Column:
-    return _reindex(tensor, lambda i: i - 2 * (i % width) + (width - 1))
+    return _moved(tensor, lambda i: i - 2 * (i % width) + (width - 1))
 
 
 def flip_tb(tensor: Column, width: int, height: int) -> Column:
-    return _reindex(tensor, lambda i: i - (i % (width * height)) + (height - 1 - F.floor((i % (width * height)) / width)) * width + i % width)
+    plane = width * height
+    return _moved(tensor, lambda i: i - i % plane + (height - 1 - i % plane // width) * width + i % width)
+
+
+def position_sum(tensor: Column) -> Column:
+    """Sum of (position · value), positions from 1: tells apart any two layouts of the same values."""
+
+    @F.arrow_udf("double")
+    def run(batch: pa.Array) -> pa.Array:
+        if isinstance(batch, (pa.BinaryArray, pa.LargeBinaryArray)):
+            sums = [float(np.dot(v := np.frombuffer(raw.as_buffer(), dtype=np.uint8).astype(np.float64), np.arange(1, len(v) + 1))) if raw.is_valid else None for raw in batch]
+            return pa.array(sums, type=pa.float64())
+        values, places, offsets = _flat(batch)
+        running = np.concatenate([[0.0], np.cumsum(values * (places + 1))]) if len(values) > 1e6 else None
+        sums = np.diff(running[offsets]) if running is not None else np.array([(values[a:b] * np.arange(1, b - a + 1)).sum() for a, b in zip(offsets[:-1], offsets[1:])])
+        return pa.array(sums, mask=batch.is_null().to_numpy(zero_copy_only=False), type=pa.float64())
+
+    return run(tensor)
 
 
 # ---- pictures of uint8 values, [height, width, channels] -------------------
@@ -80,73 +143,77 @@ def _weights(source: int, target: int) -> np.ndarray:
     return weights / weights.sum(1, keepdims=True)
 
 
-def letterbox_pixels(pixels: np.ndarray, target: int = TARGET) -> np.ndarray:
-    """Resample with three lobes, rows then columns, and paste centred on black."""
-    height, width, channels = pixels.shape
+def letterbox_stack(pictures: np.ndarray, target: int = TARGET) -> np.ndarray:
+    """[n, target, target, channels] of pictures of one size: resampled with three lobes, rows then columns, and pasted centred on black."""
+    n, height, width, channels = pictures.shape
     ratio = min(target / width, target / height)
     new_width, new_height = max(1, int(width * ratio)), max(1, int(height * ratio))
-    rows = np.tensordot(_weights(height, new_height), pixels.astype(np.float64), axes=(1, 0))
-    scaled = np.tensordot(rows, _weights(width, new_width), axes=(1, 1)).transpose(0, 2, 1)
-    out = np.zeros((target, target, channels), dtype=np.uint8)
+    rows = np.matmul(_weights(height, new_height).astype(np.float32), pictures.astype(np.float32).reshape(n, height, width * channels))
+    wide = rows.reshape(n, new_height, width, channels).transpose(0, 1, 3, 2)
+    scaled = np.matmul(wide, _weights(width, new_width).astype(np.float32).T).transpose(0, 1, 3, 2)
+    out = np.zeros((n, target, target, channels), dtype=np.uint8)
     top, left = (target - new_height) // 2, (target - new_width) // 2
-    out[top : top + new_height, left : left + new_width] = np.clip(np.rint(scaled), 0, 255).astype(np.uint8)
+    out[:, top : top + new_height, left : left + new_width] = np.clip(np.rint(scaled), 0, 255).astype(np.uint8)
     return out
 
 
-def rotate_pixels(pixels: np.ndarray, degrees: float) -> np.ndarray:
-    """Bilinear rotation about the centre; what falls outside is black."""
-    height, width, _ = pixels.shape
-    angle = np.deg2rad(degrees)
+def rotate_stack(pictures: np.ndarray, degrees: np.ndarray) -> np.ndarray:
+    """Bilinear rotation of each picture about its centre by its own angle; what falls outside is black."""
+    n, height, width, channels = pictures.shape
+    angle = np.deg2rad(np.asarray(degrees, dtype=np.float64))[:, None, None]
     y, x = np.mgrid[0:height, 0:width] - np.array([(height - 1) / 2, (width - 1) / 2])[:, None, None]
     sx = np.cos(angle) * x - np.sin(angle) * y + (width - 1) / 2
     sy = np.sin(angle) * x + np.cos(angle) * y + (height - 1) / 2
     x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-    out = np.zeros(pixels.shape)
+    out = np.zeros(pictures.shape)
+    own = np.arange(n)[:, None, None]
     for dy in (0, 1):
         for dx in (0, 1):
             xi, yi = x0 + dx, y0 + dy
             weight = (1 - np.abs(sx - xi)) * (1 - np.abs(sy - yi))
             inside = (xi >= 0) & (xi < width) & (yi >= 0) & (yi < height)
-            out += np.where(inside, weight, 0)[..., None] * pixels[np.clip(yi, 0, height - 1), np.clip(xi, 0, width - 1)]
+            out += np.where(inside, weight, 0)[..., None] * pictures[own, np.clip(yi, 0, height - 1), np.clip(xi, 0, width - 1)]
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
-def augment_pixels(pixels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Flips, a small rotation, then brightness and contrast."""
-    if rng.random() < FLIP_LR:
-        pixels = pixels[:, ::-1]
-    if rng.random() < FLIP_TB:
-        pixels = pixels[::-1]
-    pixels = rotate_pixels(pixels, rng.uniform(-ROTATION, ROTATION)).astype(np.float64)
-    pixels = np.clip(pixels * rng.uniform(1 - JITTER, 1 + JITTER), 0, 255)
-    grey = (pixels @ np.array([0.299, 0.587, 0.114])).mean()
-    return np.clip(np.rint(grey + (pixels - grey) * rng.uniform(1 - JITTER, 1 + JITTER)), 0, 255).astype(np.uint8)
+def augment_stack(pictures: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Flips, a small rotation, then brightness and contrast, by five draws from 0..1 for each picture."""
+    pictures = np.where((draws[:, 0] < FLIP_LR)[:, None, None, None], pictures[:, :, ::-1], pictures)
+    pictures = np.where((draws[:, 1] < FLIP_TB)[:, None, None, None], pictures[:, ::-1], pictures)
+    within = lambda u, low, high: (low + (high - low) * u)[:, None, None, None]
+    pictures = rotate_stack(pictures, ROTATION * (2 * draws[:, 2] - 1)).astype(np.float64)
+    pictures = np.clip(pictures * within(draws[:, 3], 1 - JITTER, 1 + JITTER), 0, 255)
+    grey = (pictures @ np.array([0.299, 0.587, 0.114])).mean((1, 2))[:, None, None, None]
+    return np.clip(np.rint(grey + (pictures - grey) * within(draws[:, 4], 1 - JITTER, 1 + JITTER)), 0, 255).astype(np.uint8)
+
+
+def draws_of(keys: Sequence, numbers: Sequence[int]) -> np.ndarray:
+    """[n, 5] repeatable draws from 0..1, from a hash of the whole key and copy number."""
+    digests = [hashlib.blake2b(f"{key!r}:{number}".encode(), digest_size=40).digest() for key, number in zip(keys, numbers)]
+    return np.frombuffer(b"".join(digests), dtype=np.uint64).reshape(len(digests), 5) / 2.0**64
 
 
 def picture_step(df: DataFrame, key: str, data: str, width: str, height: str, target: int = TARGET, augment: bool = False, copy: str | None = None) -> DataFrame:
-    """(key[, copy], tensor array<int>): letterboxed pixels, flattened H,W,C; with ``augment`` rows of copy > 0 are altered first, by draws keyed on key and copy. Rows whose data does not fit their size are left out."""
+    """(key[, copy], tensor binary): letterboxed pixels as bytes, H,W,C; with ``augment`` rows of copy > 0 are altered first, by draws keyed on the whole key and copy. Rows whose data does not fit their size are left out."""
     columns = [key, *([copy] if copy else [])]
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", tensor array<int>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", tensor binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            yield from (part(whole.iloc[begin : begin + PART]) for begin in range(0, len(whole), PART))
-
-    def part(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for values in frame.itertuples(index=False):
-            row = dict(zip(frame.columns, values))
-            pixels = np.asarray(row[data], dtype=np.uint8) if row[data] is not None else np.zeros(0, np.uint8)
-            w, h = int(row[width]), int(row[height])
-            if w < 1 or h < 1 or pixels.size != w * h * 3:
-                continue
-            pixels = pixels.reshape(h, w, 3)
-            number = int(row[copy]) if copy else 1
-            if augment and number > 0:
-                seed = int.from_bytes(str((row[key], number)).encode()[-8:], "little")
-                pixels = augment_pixels(pixels, np.random.default_rng(seed))
-            rows.append((*[row[c] for c in columns], letterbox_pixels(pixels, target).ravel().astype(np.int32)))
-        return pd.DataFrame(rows, columns=[*columns, "tensor"])
+            sizes = whole[data].map(lambda v: -1 if v is None else len(v))
+            fits = whole[width].gt(0) & whole[height].gt(0) & sizes.eq(whole[width] * whole[height] * 3)
+            for (w, h), same in whole[fits].groupby([width, height], sort=False):
+                yield from (part(same.iloc[begin : begin + PART], int(w), int(h)) for begin in range(0, len(same), PART))
+
+    def part(frame: pd.DataFrame, w: int, h: int) -> pd.DataFrame:
+        pictures = np.stack(frame[data].to_numpy()).astype(np.uint8).reshape(-1, h, w, 3)
+        if augment:
+            numbers = frame[copy].to_numpy() if copy else np.ones(len(frame), dtype=int)
+            altered = numbers > 0
+            if altered.any():
+                pictures = pictures.copy()
+                pictures[altered] = augment_stack(pictures[altered], draws_of(frame[key].to_numpy()[altered].tolist(), numbers[altered].tolist()))
+        return frame[columns].assign(tensor=[p.tobytes() for p in letterbox_stack(pictures, target)])
 
     return df.select(*columns, data, width, height).mapInPandas(run, schema)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.operators import balance, clean, describe, encode, labels, split
 from cohortlab.plans.common import position_sum, read, rounded
+from cohortlab.session import materialize
 from cohortlab.sources import readers
 
 NUMERIC = ("age", "ca125", "he4", "tumor_size_mm", "bmi")
@@ -68,6 +69,11 @@ def split_stratified(spark, folder):
 
 
 def _capped(spark, folder):
+    """Split and capped rows, written once: the scaler is fitted on them and applied to them."""
+    return materialize(_cap_all(spark, folder), "capped")
+
+
+def _cap_all(spark, folder):
     return clean.iqr_cap(_split(spark, folder).select("row_id", "y", "set", *NUMERIC, *PASSTHROUGH, *CATEGORIES), NUMERIC)
 
 
@@ -108,8 +114,8 @@ def label_dedupe_last(spark, folder):
 
 def label_image_lookup(spark, folder):
     lines = label_dedupe_last(spark, folder)
-    images = read(spark, folder, "train_augmented2_data").where("aug_k = 0").select("sample_id", labels.stem(F.col("filename")).alias("stem"))
-    return labels.label_images(lines, images).select("row_id", "sample_id", "stem", "label")
+    images = read(spark, folder, "train_augmented2_data").where("aug_k = 0").select("sample_id", "filename", labels.stem(F.col("filename")).alias("stem"))
+    return labels.label_images(lines, images, ["filename", "sample_id"]).select("row_id", "sample_id", "stem", "label")
 
 
 def class_balance(spark, folder):
@@ -117,7 +123,7 @@ def class_balance(spark, folder):
 
 
 def pos_weight_variants(spark, folder):
-    return rounded(balance.pos_weights(read(spark, folder, "train_augmented2_data"), "labels"))
+    return rounded(balance.pos_weights(read(spark, folder, "train_augmented2_data"), "labels", read(spark, folder, "dl_train_data"), "y_train"))
 
 
 def augment_expand(spark, folder):
@@ -209,15 +215,15 @@ ORACLES = {
     "label_validity_gate": f"select list_id, count(*) as n_rows, case when bool_and({_BIN} is not null) then count(*) else 0 end as accepted_rows, case when bool_and({_BIN} is not null) then sum({_BIN})::bigint end as malignant from train_cls group by list_id",
     "label_collapse": "select row_id, case when (select max(label) from train_cls) > 1 then (label = 7)::bigint else label end as collapsed from train_cls",
     "label_dedupe_last": f"select {_STEM.format('filename')} as stem, max(row_id) as row_id, arg_max(struct_pack(l := label), row_id).l as label from train_cls group by 1",
-    "label_image_lookup": f"with a as (select {_STEM.format('filename')} as stem, max(row_id) as row_id, arg_max(struct_pack(l := label), row_id).l as label from train_cls group by 1) select row_id, sample_id, a.stem, label from a join (select sample_id, {_STEM.format('filename')} as stem from train_augmented2_data where aug_k = 0) i on i.stem = a.stem",
+    "label_image_lookup": f"with a as (select {_STEM.format('filename')} as stem, max(row_id) as row_id, arg_max(struct_pack(l := label), row_id).l as label from train_cls group by 1) select row_id, sample_id, a.stem, label from a join (select {_STEM.format('filename')} as stem, arg_max(sample_id, (filename, sample_id)) as sample_id from train_augmented2_data where aug_k = 0 group by 1) i on i.stem = a.stem",
     "class_balance": "select count(*) filter (labels = 0) as negatives, count(*) filter (labels = 1) as positives, count(*) filter (labels is null) as missing, round(count(*) filter (labels = 1) / count(*) filter (labels = 0), 2) as ratio from train_augmented2_data",
-    "pos_weight_variants": "with b as (select count(*) filter (labels = 0) / nullif(count(*) filter (labels = 1), 0) as r from train_augmented2_data) select m.model, round(m.factor * r, 6) as pos_weight from b cross join (values ('resnet', 2.0::double), ('vit', 2.0), ('hybrid', 1.0), ('late_fusion', 2.5), ('shared_backbone', 3.0), ('boosted_trees', 1.0)) m(model, factor)",
+    "pos_weight_variants": "with i as (select count(*) filter (labels = 0) as n, count(*) filter (labels = 1) as p from train_augmented2_data), c as (select count(*) filter (y_train = 0) as n, count(*) filter (y_train = 1) as p from dl_train_data) select m.model, round(m.factor * (m.a * i.n + m.b * c.n) / nullif(m.a * i.p + m.b * c.p, 0), 6) as pos_weight from i cross join c cross join (values ('resnet', 2.0::double, 1, 0), ('vit', 2.0, 1, 0), ('hybrid', 1.0, 1, 0), ('late_fusion', 2.5, 1, 0), ('shared_backbone', 3.0, 1, 1), ('boosted_trees', 1.0, 0, 1)) m(model, factor, a, b)",
     "augment_expand": f"with b as (select row_id, ({_BIN})::int as y from train_cls) select row_id, y, unnest(range(case when y = 1 then 25 else 1 end))::int as copy from b where y is not null",
     "unpaired_cyclic_join": """
         with a as (select sample_id, row_number() over (order by md5('1:' || sample_id)) - 1 as idx, count(*) over () as n from validation_data),
         b as (select vec_id, row_number() over (order by md5('1:' || vec_id)) - 1 as idx, count(*) over () as n from dl_train_data),
         p as (select unnest(range(greatest((select max(n) from a), (select max(n) from b)))) as pair)
-        select pair, sample_id, vec_id from p join a on a.idx = pair % a.n join b on b.idx = cast(concat('0x', substr(md5('42:' || pair), 1, 8)) as bigint) % b.n""",
+        select pair, sample_id, vec_id from p join a on a.idx = pair % a.n join b on b.idx = cast(concat('0x', substr(md5('42:' || pair), 1, 15)) as bigint) % b.n""",
     "path_stem": f"select entry_id, {_STEM.format('file_path')} as stem from stored_files",
     "path_depth_count": "with p as (select string_split(file_path, '/') as p from stored_files) select p[1] as major, p[2] as folder, count(*) as n from p where len(p) >= 2 and p[1] in ('OTU_2d', 'OTU_3d', 'ResNet50_ViT_Processed_Data') group by grouping sets ((p[1], p[2]), (p[1]))",
     "label_text_parse": f"with t as (select line_id, regexp_split_to_array(regexp_replace(regexp_replace(raw_line, '^\\s+', ''), '\\s+$', ''), '\\s+') as p from train_cls_raw where regexp_matches(raw_line, '\\S')), u as (select line_id, p[1] as filename, case when regexp_full_match(p[2], '[+-]?[0-9]{{1,18}}') then try_cast(p[2] as bigint) end as label from t) select line_id, filename, label as original_label, ({_BIN})::int as binary_label, {_STEM.format('filename')} as stem from u",

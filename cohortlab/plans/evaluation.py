@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.operators import labels, losses, metrics, models, scoring, split
 from cohortlab.plans.common import read, rounded, sine_weights
+from cohortlab.session import materialize
 
 PHASES = {"head_a": 0, "head_b": 100, "head_c": 200}
 CLASSES, WIDTH, CLINICAL = 10, 64, 32
@@ -32,15 +33,15 @@ def threshold_sweep(spark, folder):
 
 
 def confusion_by_threshold(spark, folder):
-    return metrics.confusion_cells(metrics.confusion(scores(spark, folder), strict=True))
+    return metrics.confusion_cells(metrics.confusion(metrics.score_counts(scores(spark, folder)), strict=True))
 
 
 def roc_auc(spark, folder):
-    return rounded(metrics.ranking_metrics(scores(spark, folder, *PHASES)).select("model", "roc_auc"))
+    return rounded(metrics.ranking_metrics(metrics.score_counts(scores(spark, folder, *PHASES))).select("model", "roc_auc"))
 
 
 def average_precision(spark, folder):
-    return rounded(metrics.ranking_metrics(scores(spark, folder, *PHASES)).select("model", "average_precision"))
+    return rounded(metrics.ranking_metrics(metrics.score_counts(scores(spark, folder, *PHASES))).select("model", "average_precision"))
 
 
 def classification_report(spark, folder):
@@ -139,8 +140,13 @@ def batch_assign(spark, folder):
     return split.batch_assign(read(spark, folder, "dl_train_data").select("vec_id"), "vec_id", 64, epoch=3, drop_last=True)
 
 
+def _split_vectors(spark, folder):
+    """Usable vectors with their set, written once: models are fitted on them and score them."""
+    return materialize(split.split_stratified(clinical_vectors(spark, folder).where("y_train is not null"), "vec_id", "y_train"), "split")
+
+
 def _trained(spark, folder, classifier, positive_weight=None):
-    rows = split.split_stratified(clinical_vectors(spark, folder).where("y_train is not null"), "vec_id", "y_train")
+    rows = _split_vectors(spark, folder)
     fitted = models.fit_scores(rows.where("set = 'train'"), rows.where("set = 'test'"), classifier, "vec_id", "x", "y_train", positive_weight)
     return metrics.threshold_sweep(fitted.select(F.lit(type(classifier).__name__).alias("model"), "y", "p"))
 
@@ -158,7 +164,7 @@ def train_gbt(spark, folder):
 
 
 def train_late_fusion(spark, folder):
-    rows = split.split_stratified(clinical_vectors(spark, folder).where("y_train is not null"), "vec_id", "y_train")
+    rows = _split_vectors(spark, folder)
     rows = rows.withColumns({"image": F.slice("x", 1, 24), "clinical": F.slice("x", 25, 8)})
     fitted = models.fit_late_fusion(rows.where("set = 'train'"), rows.where("set = 'test'"), "vec_id", "image", "clinical", "y_train")
     parts = [fitted.select(F.lit(n).alias("model"), "y", F.col(f"p_{n}").alias("p")) for n in ("image", "clinical", "fusion")]

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlab.operators import balance, tensor
-from cohortlab.plans.common import position_sum, read, rounded
+from cohortlab.operators.tensor import position_sum
+from cohortlab.plans.common import read, rounded
 
 CHANNELS, SIDE = 3, 16
 PLANE = SIDE * SIDE
 
 
 def _images(spark, folder):
-    return read(spark, folder, "train_augmented2_data").where(F.size("images") == CHANNELS * PLANE).select("sample_id", "labels", "images")
+    return read(spark, folder, "train_augmented2_data").where(F.size("images") == CHANNELS * PLANE).select("sample_id", "aug_k", "labels", "images")
 
 
 def letterbox_geometry(spark, folder):
@@ -21,40 +22,41 @@ def letterbox_geometry(spark, folder):
 
 
 def tensor_denormalize(spark, folder):
-    return rounded(_images(spark, folder).select("sample_id", tensor.denormalize(F.col("images"), PLANE).alias("t")).select("sample_id", position_sum("t").alias("position_sum")), 4)
+    return rounded(_images(spark, folder).select("sample_id", tensor.denormalize(F.col("images"), PLANE).alias("t")).select("sample_id", position_sum(F.col("t")).alias("position_sum")), 4)
 
 
 def tensor_normalize(spark, folder):
-    pixels = _images(spark, folder).select("sample_id", F.transform(tensor.denormalize(F.col("images"), PLANE), lambda x: F.round(x * 255)).alias("t"))
-    return rounded(pixels.select("sample_id", tensor.normalize(F.col("t"), PLANE, 255.0).alias("t")).select("sample_id", position_sum("t").alias("position_sum")), 4)
+    pixels = _images(spark, folder).select("sample_id", tensor.to_bytes_scale(tensor.denormalize(F.col("images"), PLANE)).alias("t"))
+    return rounded(pixels.select("sample_id", tensor.normalize(F.col("t"), PLANE, 255.0).alias("t")).select("sample_id", position_sum(F.col("t")).alias("position_sum")), 4)
 
 
 def tensor_permute(spark, folder):
     turned = _images(spark, folder).select("sample_id", tensor.to_channels_last(F.col("images"), CHANNELS, PLANE).alias("t"))
-    back = turned.select("sample_id", "t", tensor.to_channels_first(F.col("t"), CHANNELS, PLANE).alias("b"))
-    return rounded(back.select("sample_id", position_sum("t").alias("channels_last"), position_sum("b").alias("channels_first")), 4)
+    back = turned.select("sample_id", "t", tensor.as_channels_first(F.col("t"), (SIDE, SIDE, CHANNELS)).alias("b"))
+    return rounded(back.select("sample_id", position_sum(F.col("t")).alias("channels_last"), position_sum(F.col("b")).alias("channels_first")), 4)
 
 
 def augment_flip(spark, folder):
     flipped = _images(spark, folder).select("sample_id", tensor.flip_lr(F.col("images"), SIDE).alias("l"), tensor.flip_tb(F.col("images"), SIDE, SIDE).alias("t"))
-    return rounded(flipped.select("sample_id", position_sum("l").alias("left_right"), position_sum("t").alias("top_bottom")), 4)
+    return rounded(flipped.select("sample_id", position_sum(F.col("l")).alias("left_right"), position_sum(F.col("t")).alias("top_bottom")), 4)
 
 
-def _pixels(spark, folder):
-    rgb = tensor.to_channels_last(tensor.denormalize(F.col("images"), PLANE), CHANNELS, PLANE)
-    return _images(spark, folder).select("sample_id", "labels", F.transform(rgb, lambda x: F.round(x * 255).cast("int")).alias("pixels"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"))
+def _pixels(images):
+    rgb = tensor.to_bytes_scale(tensor.to_channels_last(tensor.denormalize(F.col("images"), PLANE), CHANNELS, PLANE))
+    return images.select("sample_id", "labels", rgb.alias("pixels"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"))
 
 
 def _summary(df):
-    return df.withColumns({"n_values": F.size("tensor"), "position_sum": position_sum("tensor")}).drop("tensor")
+    return df.withColumns({"n_values": F.octet_length("tensor"), "position_sum": position_sum(F.col("tensor"))}).drop("tensor")
 
 
 def image_letterbox(spark, folder):
-    return _summary(tensor.picture_step(_pixels(spark, folder), "sample_id", "pixels", "width", "height"))
+    return _summary(tensor.picture_step(_pixels(_images(spark, folder)), "sample_id", "pixels", "width", "height"))
 
 
 def image_augment(spark, folder):
-    copies = balance.augment_expand(_pixels(spark, folder), "labels")
+    """24 altered copies of every malignant original. Rows of ``aug_k`` > 0 are such copies already and not copied again."""
+    copies = balance.augment_expand(_pixels(_images(spark, folder).where("aug_k = 0")), "labels")
     return _summary(tensor.picture_step(copies, "sample_id", "pixels", "width", "height", augment=True, copy="copy"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -41,9 +40,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, suffix) of all files below a folder, empty ones included, names starting with _ or . not. Nothing is read: the paths are those of the file index, which planning any scan builds."""
-    index = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).inputFiles()
-    paths = spark.createDataFrame([(unquote(p),) for p in index], "path string")
+    """(path, suffix) of all files below a folder, empty ones included, names starting with _ or . not. No content is read: only the path column of the scan is asked for."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     return paths.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1)))
 
 

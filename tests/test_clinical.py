@@ -67,6 +67,17 @@ def test_onehot(spark):
     assert encode.onehot_drop_first(spark.createDataFrame([(None,)], "c string"), ["c"]).first().onehot == []
 
 
+def test_onehot_beyond_the_dense_levels(spark, monkeypatch):
+    df = spark.range(1001).select(F.format_string("l%05d", "id").alias("c"), F.lit("k").alias("c_names")).union(spark.createDataFrame([(None, "k")], "c string, c_names string"))
+    rows = {r.c: r.onehot for r in encode.onehot_drop_first(df, ["c"]).collect()}
+    assert len(rows) == 1002 and sum(rows["l00000"]) == sum(rows[None]) == 0 and rows["l01000"] == [0] * 999 + [1]
+    monkeypatch.setattr(encode, "DENSE_LEVELS", 2)
+    joined = {r.c: r.onehot for r in encode.onehot_drop_first(df, ["c"]).collect()}
+    assert joined == rows
+    at = {r.c: r.at for r in encode.onehot_positions(df, "c", "at").collect()}
+    assert at["l00000"] == 0 and at["l00741"] == 741 and at[None] is None
+
+
 def test_standardize(spark):
     train = spark.createDataFrame([(1.0, 3.0), (2.0, 3.0), (None, 3.0), (NAN, 3.0)], "a double, b double")
     rows = encode.standardize(train, ["a", "b"], encode.standardize_fit(train, ["a", "b"])).collect()
@@ -106,6 +117,12 @@ def test_label_rules(spark):
     assert [r.collapsed for r in labels.collapse(spark.createDataFrame([(0,), (7,)], "l long"), "l").collect()] == [0, 1]
 
 
+def test_last_picture_of_a_stem_counts(spark):
+    lines = spark.createDataFrame([("1", 7), ("2", 0), ("3", 1)], "stem string, label long")
+    images = spark.createDataFrame([("1", "1.JPG", 10), ("1", "1.jpg", 9), ("2", "2.png", 5), ("4", "4.png", 6)], "stem string, filename string, sample_id long")
+    assert sorted((r.stem, r.label, r.sample_id) for r in labels.label_images(lines, images, ["filename", "sample_id"]).collect()) == [("1", 7, 9), ("2", 0, 5)]
+
+
 def test_cyclic_pairs(spark):
     images, rows = spark.range(3).select(F.col("id").alias("idx"), F.col("id").alias("image")), spark.range(7).select(F.col("id").alias("idx"), F.col("id").alias("record"))
     pairs = labels.cyclic_pairs(images, rows)
@@ -117,5 +134,7 @@ def test_balance(spark):
     df = spark.createDataFrame([(1,), (1,), (0,), (0,), (0,)], "y int")
     assert balance.augment_expand(df, "y").count() == 53
     assert balance.class_balance(df, "y").first().ratio == 0.67
-    assert {r.model: r.pos_weight for r in balance.pos_weights(df, "y").collect()}["late_fusion"] == 3.75
-    assert balance.pos_weights(df.where("y = 0"), "y").first().pos_weight is None
+    clinical = spark.createDataFrame([(1,)] + [(0,)] * 9, "r int")
+    weights = {r.model: r.pos_weight for r in balance.pos_weights(df, "y", clinical, "r").collect()}
+    assert weights == {"resnet": 3.0, "vit": 3.0, "hybrid": 1.5, "late_fusion": 3.75, "shared_backbone": 12.0, "boosted_trees": 9.0}
+    assert balance.pos_weights(df.where("y = 0"), "y", clinical.where("r = 0"), "r").where("pos_weight is not null").count() == 0

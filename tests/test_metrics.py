@@ -28,7 +28,7 @@ def test_curve_metrics(spark, digits):
     rng = np.random.default_rng(digits)
     y = (rng.random(700) < 0.2).astype(int)
     p = np.round(np.clip(rng.random(700) * 0.7 + 0.3 * y, 0, 1), digits)
-    row = metrics.ranking_metrics(scores(spark, y, p)).first()
+    row = metrics.ranking_metrics(metrics.score_counts(scores(spark, y, p))).first()
     assert row.roc_auc == pytest.approx(naive_auc(y, p)) and row.average_precision == pytest.approx(naive_ap(y, p))
 
 
@@ -49,15 +49,15 @@ def test_edges(spark):
     assert (row.recall, row.specificity, row.roc_auc, row.precision, row.f1) == (0.0, 0.5, None, 0.0, 0.0)
     row = metrics.threshold_sweep(scores(spark, [1, 0], [0.5, 0.1]), [0.5]).first()
     assert row.tp == 1
-    assert metrics.confusion(scores(spark, [1], [0.5]), [0.5], strict=True).first().tp == 0
+    assert metrics.confusion(metrics.score_counts(scores(spark, [1], [0.5])), [0.5], strict=True).first().tp == 0
     row = metrics.threshold_sweep(scores(spark, [1, 0], [0.2, 0.1]), [0.5]).first()
     assert (row.precision, row.f1) == (0.0, 0.0)
     assert metrics.threshold_sweep(scores(spark, [1], [0.5]).limit(0)).count() == 0
 
 
 def test_missing_scores_are_left_out(spark):
-    df = spark.createDataFrame([("m", 1, 0.9), ("m", None, 0.9), ("m", 0, None), ("m", 0, 0.1)], "model string, y int, p double")
-    row = metrics.confusion(df, [0.5]).first()
+    df = spark.createDataFrame([("m", 1, 0.9), ("m", None, 0.9), ("m", 0, None), ("m", 0, float("nan")), ("m", 0, 0.1)], "model string, y int, p double")
+    row = metrics.confusion(metrics.score_counts(df), [0.5]).first()
     assert (row.tn, row.fp, row.fn, row.tp) == (1, 0, 0, 1)
 
 

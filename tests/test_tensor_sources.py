@@ -42,19 +42,54 @@ def test_letterbox_truncates(spark):
 
 def test_pixels():
     flat = np.full((10, 20, 3), 77, dtype=np.uint8)
-    out = tensor.letterbox_pixels(flat, 40)
+    out = tensor.letterbox_stack(flat[None], 40)[0]
     assert out.shape == (40, 40, 3) and (out[10:30] == 77).all() and (out[:10] == 0).all() and (out[30:] == 0).all()
     spot = np.zeros((9, 9, 3), dtype=np.uint8)
     spot[4, 4] = 200
-    assert (tensor.rotate_pixels(spot, 0) == spot).all() and tensor.rotate_pixels(spot, 5)[4, 4, 0] == 200
-    assert tensor.augment_pixels(spot, np.random.default_rng(1)).shape == spot.shape
+    turned = tensor.rotate_stack(np.stack([spot, spot]), [0, 5])
+    assert (turned[0] == spot).all() and turned[1, 4, 4, 0] == 200
+    assert tensor.augment_stack(spot[None], np.full((1, 5), 0.9)).shape == (1, *spot.shape)
+
+
+def test_resampling_against_plain_loops():
+    rng = np.random.default_rng(2)
+    picture = rng.integers(0, 256, (5, 4, 3)).astype(np.uint8)
+    kernel = lambda x: np.sinc(x) * np.sinc(x / 3) if abs(x) < 3 else 0.0
+
+    def line(values, n):
+        stretch, out = max(len(values) / n, 1.0), []
+        for i in range(n):
+            weights = [kernel((k + 0.5 - (i + 0.5) * len(values) / n) / stretch) for k in range(len(values))]
+            out.append(sum(w * v for w, v in zip(weights, values)) / sum(weights))
+        return out
+
+    for target in (9, 3):
+        ratio = min(target / 4, target / 5)
+        w, h = int(4 * ratio), int(5 * ratio)
+        want = np.zeros((target, target, 3))
+        for c in range(3):
+            tall = np.array([line(picture[:, x, c].astype(float), h) for x in range(4)]).T
+            want[(target - h) // 2 : (target - h) // 2 + h, (target - w) // 2 : (target - w) // 2 + w, c] = [line(row, w) for row in tall]
+        assert np.abs(tensor.letterbox_stack(picture[None], target)[0] - np.clip(np.rint(want), 0, 255)).max() <= 1
+
+
+def test_draws_depend_on_the_whole_key():
+    draws = tensor.draws_of([123, 1000123, 2000123, 123], [24, 24, 24, 4])
+    assert len({tuple(d) for d in draws}) == 4 and (tensor.draws_of([123], [24])[0] == draws[0]).all() and 0 <= draws.min() <= draws.max() < 1
+
+
+def test_nulls_and_layout_detection(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0, 6.0],), (None,), ([],)], "x array<float>")
+    rows = df.select(tensor.as_channels_first(F.col("x"), (1, 2, 3)).alias("turned"), tensor.as_channels_first(F.col("x"), (3, 1, 2)).alias("same"), tensor.normalize(F.col("x"), 2, 1.0, (0, 0, 0), (1, 1, 1)).alias("n"), tensor.position_sum(F.col("x")).alias("s")).collect()
+    assert rows[0].turned == [1, 4, 2, 5, 3, 6] and rows[0].same == [1, 2, 3, 4, 5, 6] and rows[0].s == 91
+    assert rows[1].n is None and rows[1].turned is None and rows[1].s is None and rows[2].n == [] and rows[2].s == 0
 
 
 def test_picture_step(spark):
     data = np.random.default_rng(0).integers(0, 255, 4 * 6 * 3).tolist()
     df = spark.createDataFrame([(1, data, 6, 4, 0), (1, data, 6, 4, 1), (2, data[:-1], 6, 4, 0), (3, None, 6, 4, 0)], "id long, d array<int>, w int, h int, copy int")
     rows = {r.copy: r.tensor for r in tensor.picture_step(df, "id", "d", "w", "h", 8, augment=True, copy="copy").collect()}
-    assert set(rows) == {0, 1} and rows[0] != rows[1] and len(rows[0]) == 8 * 8 * 3
+    assert set(rows) == {0, 1} and rows[0] != rows[1] and len(rows[0]) == 8 * 8 * 3 and isinstance(rows[0], (bytes, bytearray))
     plain = tensor.picture_step(df, "id", "d", "w", "h", 8).first().tensor
     assert plain == rows[0]
 
@@ -112,7 +147,7 @@ def test_model_round_trip(spark, tmp_path):
     forest = models.random_forest(trees=5, depth=4)
     model = forest.fit(models.prepared(df, "x", "y", 4.0).withColumn("label", F.col("y").cast("double")))
     models.save(model, str(tmp_path / "forest"))
-    assert type(model).load(str(tmp_path / "forest")).getNumTrees == 5
+    assert models.load(str(tmp_path / "forest")).getNumTrees == 5
     # without weights: the rare class is replicated first
     mlp = models.mlp_head(3, (4,), 20).fit(models.prepared(df, "x", "y", 1.0).withColumn("label", F.col("y").cast("double")))
     assert mlp.transform(models.prepared(df, "x", "y", 1.0)).count() == 200
@@ -121,7 +156,7 @@ def test_model_round_trip(spark, tmp_path):
 def test_picture_queries_make_every_copy_at_full_size(spark, monkeypatch):
     from cohortlab.plans import imaging
 
-    few = spark.createDataFrame([(i, label, [(i + k % 7) / 10 for k in range(768)]) for i, label in ((1, 0), (2, 1), (3, None))], "sample_id long, labels long, images array<float>")
+    few = spark.createDataFrame([(i, label, [(i + k % 7) / 10 for k in range(768)]) for i, label in ((1, 0), (2, 1), (3, None))], "sample_id long, labels long, images array<float>").withColumn("aug_k", F.lit(0))
     monkeypatch.setattr(imaging, "_images", lambda spark, folder: few)
     boxed = imaging.image_letterbox(spark, "").collect()
     assert sorted((r.sample_id, r.n_values) for r in boxed) == [(i, 224 * 224 * 3) for i in (1, 2, 3)]
