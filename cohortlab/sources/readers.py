@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab.operators.labels import binary_label, stem
+from cohortlab.session import materialize
 
 FOLDERS = ("OTU_2d", "OTU_3d")
 
@@ -40,8 +41,31 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, suffix) of all files below a folder, empty ones included, names starting with _ or . not. No content is read: only the path column of the scan is asked for."""
-    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    """(path, suffix) of all files below a folder, empty ones included, names starting with _ or . not.
+
+    Folders are listed level by level in the executors, a task per folder at
+    most; no path passes through the driver. A missing folder is an error.
+    """
+
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in batches:
+            for parent in frame["path"]:
+                system, inside = fs.FileSystem.from_uri(parent) if "://" in parent else (fs.LocalFileSystem(), parent)
+                found = [f for f in system.get_file_info(fs.FileSelector(inside)) if not f.base_name.startswith(("_", "."))]
+                yield pd.DataFrame({"path": [f"{parent.rstrip('/')}/{f.base_name}" for f in found], "is_folder": [f.type == fs.FileType.Directory for f in found]})
+
+    files, level = None, spark.createDataFrame([(folder,)], "path string")
+    while True:
+        listed = materialize(level.mapInPandas(children, "path string, is_folder boolean"), "listing")
+        here = listed.where(~F.col("is_folder")).select("path")
+        files = here if files is None else files.unionByName(here)
+        below = listed.where("is_folder").select("path")
+        if below.isEmpty():
+            break
+        level = below.repartition("path")
+    paths = files
     return paths.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1)))
 
 
