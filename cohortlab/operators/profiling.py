@@ -2,8 +2,11 @@
 
 Checks are declared, then compiled into one grouped aggregate over one scan:
 row, null and violation counts, minimum, maximum, sum, sum of squares, a
-distinct-count sketch and class counts. The state of two sets of rows is the
-merge of their states, so a new load is added without reading the old ones.
+distinct-count sketch, class counts, and the keys of violating rows. States are
+worked out per load and input partition and written; the state of two sets of
+rows is the merge of their states, so a new load is added to a store without
+reading the old ones. Findings on rows, shifts and the profile all come from
+the written states.
 Metrics come from states only; rates, mean, range and distinct count are compared
 with the control limits of the same site's earlier loads, and class shares with
 those of the preceding load.
@@ -11,23 +14,27 @@ those of the preceding load.
 Defined results: a null is counted as null and breaks no check; a NaN in a
 floating column is counted as null; an empty table gives an empty state table;
 rows whose load is null form a load of their own without a preceding one;
-repeated rows count as often as they occur. Texts are measured whole; their
-minimum and maximum are cut to ``SHOWN`` characters for display only.
+repeated rows count as often as they occur. Texts are measured and shown whole,
+ranges of whole numbers are exact. Distinct counts are exact up to about 1,500
+values and have a standard error of 0.8 % beyond.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SHOWN = 64
+from cohortlab.session import materialize
+
 #: A load's metric is out of control beyond this many standard deviations of at least so many earlier loads.
 SIGMAS, HISTORY = 3.0, 4
-SKETCH_K = 11
-#: Half the summed share differences, in %, beyond which a load has shifted; the relative error of a distinct-count sketch.
+#: A sketch of 2^14 registers counts up to about 1,500 values exactly.
+SKETCH_K = 14
+#: Half the summed share differences, in %, beyond which a load has shifted; the relative error of a distinct-count sketch beyond that.
 SHIFT_PCT, SKETCH_ERROR = 25, 1.04 / 2 ** (SKETCH_K / 2)
 
 
@@ -61,14 +68,21 @@ def _null(df: DataFrame, name: str) -> Column:
     return column.isNull() | F.isnan(column) if kind in ("double", "float") else column.isNull()
 
 
-def states(df: DataFrame, key: str, columns: Sequence[str], suite: Suite) -> DataFrame:
-    """One row per value of ``key`` and column: the mergeable state. One scan, one shuffle of the groups' partial aggregates."""
+def states(df: DataFrame, key: str, columns: Sequence[str], suite: Suite, row_key: str | None = None) -> DataFrame:
+    """A row per value of ``key``, input partition and column: the mergeable state. One scan.
+
+    Everything is aggregated inside its input partition, so a load of any size
+    sends a few rows. With ``row_key`` the keys of the rows that break a check
+    come along; there are no more of them than the partition has rows.
+    """
     kinds = dict(df.dtypes)
     aggregates = []
     for name in columns:
         value = F.when(~_null(df, name), F.col(f"`{name}`"))
-        numeric = kinds[name] in ("double", "float", "int", "bigint", "smallint", "tinyint")
-        number = value.cast("double") if numeric else F.lit(None).cast("double")
+        whole, floating = kinds[name] in ("int", "bigint", "smallint", "tinyint"), kinds[name] in ("double", "float")
+        number = value.cast("double") if whole or floating else F.lit(None).cast("double")
+        exact = value.cast("bigint") if whole else F.lit(None).cast("bigint")
+        text = F.lit(None).cast("string") if whole or floating else value.cast("string")
         hashed = value if kinds[name] in ("bigint", "int", "string") else value.cast("string")
         aggregates.append(
             F.struct(
@@ -77,55 +91,63 @@ def states(df: DataFrame, key: str, columns: Sequence[str], suite: Suite) -> Dat
                 F.count_if(_null(df, name)).alias("n_null"),
                 F.min(number).alias("low"),
                 F.max(number).alias("high"),
-                F.substring(F.min(value.cast("string")), 1, SHOWN).alias("first_text"),
-                F.substring(F.max(value.cast("string")), 1, SHOWN).alias("last_text"),
+                F.min(exact).alias("low_whole"),
+                F.max(exact).alias("high_whole"),
+                F.min(text).alias("first_text"),
+                F.max(text).alias("last_text"),
                 F.sum(number).alias("total"),
                 F.sum(number * number).alias("squares"),
                 F.hll_sketch_agg(hashed, F.lit(SKETCH_K)).alias("sketch"),
-                _counts(suite, name, "finding").alias("broken"),
-                _counts(suite, name, "class").alias("classes"),
+                _broken(suite, name, row_key).alias("broken"),
+                _classes(suite, name).alias("classes"),
             )
         )
-    return df.groupBy(key).agg(F.array(*aggregates).alias("_states")).select(key, F.explode("_states").alias("_s")).select(key, "_s.*")
-
-
-def _counts(suite: Suite, name: str, what: str) -> Column:
-    if what == "finding":
-        entries = [(c.finding, F.count_if(F.coalesce(c.broken, F.lit(False)))) for c in suite.checks if c.column == name]
-    else:
-        entries = [(label, F.count_if(c.of == label)) for c in suite.classes if c.column == name for label in c.names]
-    if not entries:
-        return F.array().cast("array<struct<name:string,n:bigint>>")
-    return F.array(*[F.struct(F.lit(label).alias("name"), count.alias("n")) for label, count in entries])
-
-
-def merge_states(state: DataFrame, key: str) -> DataFrame:
-    """Merge state rows of the same key and column: states of new partitions are unioned with the old ones and merged."""
-    added = {}
-    for what in ("broken", "classes"):
-        counts = (
-            state.select(key, "column_name", F.explode(what).alias("_e"))
-            .groupBy(key, "column_name", "_e.name")
-            .agg(F.sum("_e.n").alias("n"))
-            .groupBy(key, "column_name")
-            .agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias(what))
-        )
-        added[what] = counts.select(F.col(key).alias("_k"), F.col("column_name").alias("_c"), what)
-    merged = state.groupBy(key, "column_name").agg(
+    parts = df.withColumn("_part", F.spark_partition_id()).groupBy(key, "_part")
+    return parts.agg(F.array(*aggregates).alias("_states")).select(key, F.explode("_states").alias("_s")).select(key, "_s.*")
+
+
+def _broken(suite: Suite, name: str, row_key: str | None) -> Column:
+    checks = [(c.finding, F.coalesce(c.broken, F.lit(False))) for c in suite.checks if c.column == name]
+    keys = lambda broken: F.collect_list(F.when(broken, F.col(row_key))) if row_key else F.array().cast("array<bigint>")
+    kind = "array<struct<name:string,n:bigint,keys:array<bigint>>>"
+    return F.array(*[F.struct(F.lit(finding).alias("name"), F.count_if(broken).alias("n"), keys(broken).alias("keys")) for finding, broken in checks]).cast(kind)
+
+
+def _classes(suite: Suite, name: str) -> Column:
+    counts = [(label, F.count_if(c.of == label)) for c in suite.classes if c.column == name for label in c.names]
+    return F.array(*[F.struct(F.lit(label).alias("name"), count.alias("n")) for label, count in counts]).cast("array<struct<name:string,n:bigint>>")
+
+
+def merge_states(state: DataFrame, key: str, suite: Suite) -> DataFrame:
+    """One row per ``key`` and column: states of partitions, or of old and new rows, merged in one aggregate. Keys of rows are not kept."""
+
+    def summed(what: str, most: int) -> Column:
+        names, counts = F.first(f"{what}.name"), F.array(*[F.sum(F.get(F.col(f"{what}.n"), F.lit(i))) for i in range(most)]) if most else F.array().cast("array<bigint>")
+        return F.transform(names, lambda name, i: F.struct(name.alias("name"), F.get(counts, i).alias("n"))).alias(what)
+
+    checked = Counter(c.column for c in suite.checks)
+    n_checks, n_classes = max(checked.values(), default=0), max((len(c.names) for c in suite.classes), default=0)
+    return state.groupBy(key, "column_name").agg(
         F.sum("n_rows").alias("n_rows"),
         F.sum("n_null").alias("n_null"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.min("first_text").alias("first_text"),
-        F.max("last_text").alias("last_text"),
+        *[F.min(name).alias(name) for name in ("low", "low_whole", "first_text")],
+        *[F.max(name).alias(name) for name in ("high", "high_whole", "last_text")],
         F.sum("total").alias("total"),
         F.sum("squares").alias("squares"),
         F.hll_union_agg("sketch").alias("sketch"),
+        summed("broken", n_checks),
+        summed("classes", n_classes),
     )
-    for what, counts in added.items():
-        same = merged[key].eqNullSafe(counts["_k"]) & (merged["column_name"] == counts["_c"])
-        merged = merged.join(counts, same, "left").drop("_k", "_c").withColumn(what, F.coalesce(what, F.array().cast("array<struct<name:string,n:bigint>>")))
-    return merged
+
+
+def add_to_store(df: DataFrame, store: str, key: str, columns: Sequence[str], suite: Suite, row_key: str | None = None) -> None:
+    """Append the states of new rows to the store, a folder of states; rows profiled before are not read again."""
+    states(df, key, columns, suite, row_key).write.mode("append").parquet(store)
+
+
+def stored_states(spark: SparkSession, store: str, key: str, suite: Suite) -> DataFrame:
+    """The merged states of everything added to the store so far."""
+    return merge_states(spark.read.parquet(store), key, suite)
 
 
 def _prior(state: DataFrame, loads: DataFrame, key: str) -> DataFrame:
@@ -154,13 +176,15 @@ def shifted_loads(state: DataFrame, loads: DataFrame, key: str, limit_pct: int =
 def metrics(state: DataFrame, loads: DataFrame, key: str) -> DataFrame:
     """The profile: rates, distinct counts, range, mean, distance from the preceding load, whether that is a shift, and control-limit tests.
 
-    A rate, a mean, an end of a range or a distinct count is out of control if
+    A row count, a rate, a mean, an end of a range or a distinct count is out of control if
     it lies more than ``SIGMAS`` standard deviations from the mean of the same
     site's earlier loads, of which at least ``HISTORY`` must have it. The
-    deviation counts as no less than the metric's own error: for rates that of a
+    deviation counts as no less than the metric's own error: for row counts their root, for rates that of a
     proportion estimated from the load's rows, for means that of a mean of as
     many values with the earlier loads' variance, for distinct counts that of
     the sketch. Texts have no mean, and the ends of their range are not tested.
+    ``low`` and ``high`` are the range of floating columns, ``lowest`` and
+    ``highest`` that of whole numbers and texts.
     """
     apart, whole = distance_parts()
     filled = F.col("n_rows") - F.col("n_null")
@@ -174,8 +198,10 @@ def metrics(state: DataFrame, loads: DataFrame, key: str) -> DataFrame:
         "n_null",
         (F.col("n_null") / F.col("n_rows")).alias("null_rate"),
         F.round(F.hll_sketch_estimate("sketch")).cast("bigint").alias("distinct_estimate"),
-        F.coalesce(F.col("low").cast("string"), F.col("first_text")).alias("lowest"),
-        F.coalesce(F.col("high").cast("string"), F.col("last_text")).alias("highest"),
+        F.when(F.col("low_whole").isNull(), F.col("low")).alias("low"),
+        F.when(F.col("high_whole").isNull(), F.col("high")).alias("high"),
+        F.coalesce(F.col("low_whole").cast("string"), F.col("first_text")).alias("lowest"),
+        F.coalesce(F.col("high_whole").cast("string"), F.col("last_text")).alias("highest"),
         F.try_divide("total", filled).alias("mean"),
         broken.alias("n_broken"),
         (broken / F.col("n_rows")).alias("broken_rate"),
@@ -186,11 +212,12 @@ def metrics(state: DataFrame, loads: DataFrame, key: str) -> DataFrame:
         F.when(filled > 0, F.greatest(F.lit(0.0), F.try_divide("squares", filled) - F.pow(F.try_divide("total", filled), 2))).alias("_variance"),
     )
     earlier = Window.partitionBy("site_id", "column_name").orderBy("loaded_at", key).rowsBetween(Window.unboundedPreceding, -1)
-    metric = {"null_rate": "null_rate", "broken_rate": "broken_rate", "mean": "mean", "lowest": "_low", "highest": "_high", "distinct": "distinct_estimate"}
+    metric = {"rows": "n_rows", "null_rate": "null_rate", "broken_rate": "broken_rate", "mean": "mean", "lowest": "_low", "highest": "_high", "distinct": "distinct_estimate"}
     for name, of in metric.items():
         mean, spread, seen = F.avg(of).over(earlier), F.stddev_samp(of).over(earlier), F.count(of).over(earlier)
         rounding = 1e-9 * F.greatest(F.abs(mean), F.lit(1.0))
         least = {
+            "rows": F.sqrt(mean),
             "mean": F.greatest(rounding, F.sqrt(F.try_divide(F.avg("_variance").over(earlier), F.col("n_rows") - F.col("n_null")))),
             "lowest": rounding,
             "highest": rounding,
@@ -200,10 +227,10 @@ def metrics(state: DataFrame, loads: DataFrame, key: str) -> DataFrame:
     return out.drop("_low", "_high", "_variance")
 
 
-def violations(df: DataFrame, key: str, checks: Sequence[Check]) -> DataFrame:
-    """(finding, column_name, key_id): a row per broken check and row, from one scan."""
-    found = F.array_compact(F.array(*[F.when(c.broken, F.struct(F.lit(c.finding).alias("finding"), F.lit(c.column).alias("column_name"))) for c in checks]))
-    return df.select(F.col(key).alias("key_id"), F.explode(found).alias("_f")).select("_f.finding", "_f.column_name", "key_id")
+def violations(state: DataFrame) -> DataFrame:
+    """(finding, column_name, key_id): a row per broken check and row, from states that hold the rows' keys."""
+    found = state.select("column_name", F.explode("broken").alias("_b"))
+    return found.select(F.col("_b.name").alias("finding"), "column_name", F.explode("_b.keys").alias("key_id"))
 
 
 #: ---- the checks of the clinical records ------------------------------------
@@ -280,13 +307,14 @@ def with_load_time(records: DataFrame, loads: DataFrame) -> DataFrame:
 def clinical_findings(records: DataFrame, loads: DataFrame) -> DataFrame:
     """(finding, column_name, key_id): rows that break a check, and loads whose shares have shifted."""
     suite = clinical_suite()
-    timed = with_load_time(records, loads)
-    state = states(timed, "load_id", ["record_timestamp", "risklabel"], suite)
-    shifted = shifted_loads(state, loads, "load_id").select(F.lit("shift").alias("finding"), "column_name", F.col("load_id").alias("key_id"))
-    return violations(timed, "row_id", suite.checks).unionByName(shifted)
+    parts = materialize(states(with_load_time(records, loads), "load_id", ["record_timestamp", "risklabel"], suite, "row_id"), "states")
+    shifted = shifted_loads(merge_states(parts, "load_id", suite), loads, "load_id").select(F.lit("shift").alias("finding"), "column_name", F.col("load_id").alias("key_id"))
+    return violations(parts).unionByName(shifted)
 
 
 def clinical_profile(records: DataFrame, loads: DataFrame) -> DataFrame:
     """The profile of every column of the clinical records, per load."""
     columns = [c for c in records.columns if c != "load_id"]
-    return metrics(states(with_load_time(records, loads), "load_id", columns, profile_suite(columns)), loads, "load_id")
+    suite = profile_suite(columns)
+    parts = materialize(states(with_load_time(records, loads), "load_id", columns, suite), "states")
+    return metrics(merge_states(parts, "load_id", suite), loads, "load_id")

@@ -36,10 +36,11 @@ def test_states_merge_to_the_same(spark):
     table = profiling.with_load_time(spark.createDataFrame(rows, RECORDS), loads(spark, (0, None, 5), (1, None, 6), (2, None, 7)))
     suite = profiling.clinical_suite()
     columns = ["record_timestamp", "risklabel", "age"]
-    whole = profiling.states(table, "load_id", columns, suite)
-    halves = [profiling.states(table.where(F.col("row_id") % 2 == k), "load_id", columns, suite) for k in (0, 1)]
-    merged = profiling.merge_states(halves[0].unionByName(halves[1]), "load_id")
-    for name in ("n_rows", "n_null", "low", "high", "first_text", "last_text", "total", "squares"):
+    part = lambda df: profiling.states(df, "load_id", columns, suite)
+    whole = profiling.merge_states(part(table.coalesce(1)), "load_id", suite)
+    halves = [part(table.where(F.col("row_id") % 2 == k)) for k in (0, 1)]
+    merged = profiling.merge_states(halves[0].unionByName(halves[1]), "load_id", suite)
+    for name in ("n_rows", "n_null", "low", "high", "low_whole", "high_whole", "first_text", "last_text", "total", "squares"):
         key = lambda df: sorted((r.load_id, r.column_name, getattr(r, name)) for r in df.collect() if getattr(r, name) is not None)  # noqa: B023, E731
         assert key(whole) == key(merged)
     classes = lambda df: {(r.load_id, r.column_name): {c.name: c.n for c in r.classes} for r in df.collect()}
@@ -53,7 +54,7 @@ def test_profile_values_and_control_limits(spark):
     rows = [(100 * load + i, load, "2020-01-01 00:00:00", 0, None if (i < 2 or (load == 7 and i < 60)) else float(i)) for load in range(8) for i in range(100)]
     chain = [(i, i - 1 if i else None, 1 + i) for i in range(8)]
     out = {r.load_id: r for r in profiling.clinical_profile(spark.createDataFrame(rows, RECORDS), loads(spark, *chain)).where("column_name = 'age'").collect()}
-    assert out[3].null_rate == 0.02 and out[3].lowest == "2.0" and out[3].highest == "99.0" and abs(out[3].distinct_estimate - 98) <= 3
+    assert out[3].null_rate == 0.02 and out[3].low == 2.0 and out[3].high == 99.0 and out[3].distinct_estimate == 98
     assert out[7].null_rate_out is True and out[6].null_rate_out is False and out[2].null_rate_out is None
 
 
@@ -81,6 +82,30 @@ def test_every_column_is_checked_and_compared(spark):
     assert not any(before[c].n_broken or before[c].shifted or before[c].highest_out or before[c].distinct_out for c in before if c != "row_id")
 
 
+def test_a_load_is_added_without_reading_the_old_ones(spark, tmp_path):
+    rows = [(i, i % 3, f"2020-01-0{1 + i % 5} 00:00:00", i % 6, float(i)) for i in range(90)]
+    chain = loads(spark, (0, None, 5), (1, 0, 6), (2, 1, 7))
+    table, suite, columns, store = profiling.with_load_time(spark.createDataFrame(rows, RECORDS), chain), profiling.clinical_suite(), ["record_timestamp", "risklabel"], str(tmp_path / "store")
+    for load in range(3):
+        table.where(F.col("load_id") == load).drop("_loaded_at", "_load_site").write.parquet(str(tmp_path / f"load{load}"))
+        fresh = profiling.with_load_time(spark.read.parquet(str(tmp_path / f"load{load}")), chain)
+        profiling.add_to_store(fresh, store, "load_id", columns, suite, "row_id")
+        for path in (tmp_path / f"load{load}").iterdir():
+            path.unlink()  # what was profiled may be gone
+    whole = profiling.merge_states(profiling.states(table, "load_id", columns, suite), "load_id", suite)
+    shown = lambda state: sorted(map(str, profiling.metrics(state, chain, "load_id").collect()))
+    assert shown(profiling.stored_states(spark, store, "load_id", suite)) == shown(whole)
+    assert {r.key_id for r in profiling.violations(spark.read.parquet(store)).where("column_name = 'risklabel'").collect()} == {i for i in range(90) if i % 6 > 3}
+
+
+def test_long_texts_and_whole_numbers_are_exact(spark):
+    df = spark.createDataFrame([(1, "a" * 70 + "x", 2**60 + 1), (1, "a" * 70 + "b", 2**60 + 3)], "load_id long, t string, n long")
+    suite = profiling.Suite()
+    out = {r.column_name: r for r in profiling.metrics(profiling.merge_states(profiling.states(df, "load_id", ["t", "n"], suite), "load_id", suite), loads(spark, (1, None, 5)), "load_id").collect()}
+    assert (out["t"].lowest, out["t"].highest) == ("a" * 70 + "b", "a" * 70 + "x")
+    assert (out["n"].lowest, out["n"].highest) == (str(2**60 + 1), str(2**60 + 3))
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], RECORDS)
     assert profiling.clinical_findings(empty, loads(spark, (1, None, 5))).count() == 0
