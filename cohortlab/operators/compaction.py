@@ -3,12 +3,18 @@
 Plan: a file's state is its latest log entry; folders with at least two small
 live files are merged. Rewrite: the records of those files are shuffled under an
 adaptive REBALANCE hint, so that runtime statistics merge or split the output
-partitions near the target size. Commit: the output is moved into place only
-after its multiset checksums (count, sum and xor of two row hashes, per folder and
-source file) equal those of the source; otherwise it is deleted and nothing changes.
+partitions near the target size (of shuffled bytes; Parquet files come out
+smaller). Commit: the output is a version of its own below the target. After its
+multiset checksums (count, sum and xor of two row hashes, per folder and source
+file) equal those of the source, a small pointer file is replaced in one step to
+name it, and only then are older versions removed. Readers follow the pointer,
+so a crash at any point leaves the last committed version readable; versions
+without a pointer are removed by the next commit. The log entries that retire
+the small files and announce the new ones are part of the version.
 
 Defined results: records without a file, or of a file that is not merged, stay
-where they are; a merged file without records is listed with 0 rows; repeated
+where they are; a merged file without records is listed with 0 rows; a file
+whose rewritten rows are not as many as logged is not retired; repeated
 records are kept as often as they occur; an empty plan or table commits an empty
 output. Column names of the records are kept; the folder comes as ``folder``
 from the log (a record column of that name is replaced).
@@ -16,7 +22,10 @@ from the log (a record column of that name is replaced).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.operators.joins import checked_join
@@ -25,6 +34,8 @@ from cohortlab.session import delete_path, hadoop_fs, materialize, scratch_path
 #: A file below this is small; output files aim at this size.
 SMALL_BYTES = 16 * 1024 * 1024
 TARGET_BYTES = 128 * 1024 * 1024
+#: File systems where writing one file is atomic and renaming is not.
+ATOMIC_WRITES = ("s3a", "gs", "abfs", "abfss", "oss")
 
 
 def file_states(log: DataFrame) -> DataFrame:
@@ -34,10 +45,10 @@ def file_states(log: DataFrame) -> DataFrame:
 
 
 def plan_merge(log: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """(file_id, folder, size_bytes, n_records) of the files to merge. Counting per folder is pre-aggregated, so one huge folder is no hot task."""
+    """(file_id, folder, file_path, size_bytes, n_records) of the files to merge. Counting per folder is pre-aggregated, so one huge folder is no hot task."""
     live = file_states(log).where((F.col("op") == "put") & (F.col("n_records") > 0) & (F.col("size_bytes") < small_bytes) & F.col("folder").isNotNull())
     many = live.groupBy("folder").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("folder")
-    return live.join(many, "folder", "left_semi").select("file_id", "folder", "size_bytes", "n_records")
+    return live.join(many, "folder", "left_semi").select("file_id", "folder", "file_path", "size_bytes", "n_records")
 
 
 def _checksum(df: DataFrame) -> list[Column]:
@@ -55,45 +66,89 @@ def checksums(df: DataFrame, by: tuple[str, ...] = ("folder", "file_id")) -> Dat
     return df.groupBy(*by).agg(*_checksum(df))
 
 
+def _replace_pointer(spark: SparkSession, target: str, version: str) -> None:
+    """Make ``version`` the current one: the pointer file is written aside and renamed over the old one, or written at once where a write is atomic and a rename is not."""
+    jvm = spark.sparkContext._jvm
+    fs, at = hadoop_fs(spark, f"{target}/CURRENT")
+    aside = at if fs.getScheme() in ATOMIC_WRITES else hadoop_fs(spark, f"{target}/CURRENT.{version}")[1]
+    out = fs.create(aside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    if aside is not at:
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, at, options)
+
+
+def current_version(spark: SparkSession, target: str) -> str | None:
+    """The folder of the committed version, None if there is none."""
+    fs, at = hadoop_fs(spark, f"{target}/CURRENT")
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    version = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return f"{target}/{version}"
+
+
+def committed(spark: SparkSession, target: str, part: str = "data") -> DataFrame:
+    """``data``, ``manifest`` (file_id, folder, size_bytes, n_records, n_rows) or ``log`` (folder, file_path, size_bytes, n_records, op, file_id) of the committed version."""
+    return spark.read.parquet(f"{current_version(spark, target)}/{part}")
+
+
+def _remove_others(spark: SparkSession, target: str, version: str) -> None:
+    fs, at = hadoop_fs(spark, target)
+    for status in fs.listStatus(at):  # a few versions
+        if status.getPath().getName() not in (version, "CURRENT"):
+            fs.delete(status.getPath(), True)
+
+
 def compact(records: DataFrame, merge: DataFrame, target: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Rewrite the records of the files in ``merge`` to ``target``; returns the committed manifest.
+    """Rewrite the records of the files in ``merge`` as a new version of ``target``; returns the committed manifest, a row per merged file.
 
-    The manifest has a row per merged file: file_id, folder, rows found.
-    Raises RuntimeError, leaving ``target`` untouched, if the checksums differ.
+    Raises RuntimeError, leaving the committed version as it was, if the checksums differ.
     """
     spark = records.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    at = f"{target}/{version}"
     chosen = checked_join(records.drop("folder"), merge.select("file_id", "folder"), "file_id")
-    staging = f"{target}.staging"
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
     try:
-        chosen.hint("rebalance", "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{staging}/data")
+        chosen.hint("rebalance", "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{at}/data")
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     schema = chosen.select(*[c for c in chosen.columns if c != "folder"], F.col("folder").cast("string")).schema
-    written = spark.read.schema(schema).parquet(f"{staging}/data").select(*chosen.columns)
-    source, result = checksums(chosen), materialize(checksums(written), "checksums")
+    stored = spark.read.schema(schema).parquet(f"{at}/data")
+    source, result = checksums(chosen), materialize(checksums(stored.select(*chosen.columns)), "checksums")
     pairs = source.withColumnsRenamed({c: f"s_{c}" for c in source.columns}).join(result, (F.col("s_folder") == F.col("folder")) & (F.col("s_file_id") == F.col("file_id")), "full")
     same = F.lit(True)
     for name in source.columns:
         same = same & F.col(name).eqNullSafe(F.col(f"s_{name}"))
     if not pairs.where(~same).isEmpty():
-        delete_path(spark, staging)
+        delete_path(spark, at)
         raise RuntimeError("the rewritten records differ from the source; nothing was committed")
-    merge.join(result.select("file_id", "n_rows"), "file_id", "left").select("file_id", "folder", "size_bytes", "n_records", F.coalesce("n_rows", F.lit(0)).alias("n_rows")).write.mode("overwrite").parquet(f"{staging}/manifest")
-    fs, at = hadoop_fs(spark, staging)
-    fs.delete(hadoop_fs(spark, target)[1], True)
-    if not fs.rename(at, hadoop_fs(spark, target)[1]):
-        raise RuntimeError(f"{staging} could not be moved to {target}")
-    return spark.read.parquet(f"{target}/manifest")
-
-
-def compact_store(log: DataFrame, tables: dict[str, DataFrame], target_bytes: int = TARGET_BYTES) -> dict[str, DataFrame]:
-    """Compact the files of several record tables that share one log; each file goes to the table its records are in.
-
-    Files of the plan without any record go to every manifest as 0 rows, so
-    the union of manifests names every file of the plan at least once.
-    """
+    manifest = merge.join(result.select("file_id", "n_rows"), "file_id", "left").select("file_id", "folder", "file_path", "size_bytes", "n_records", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    manifest.write.mode("overwrite").parquet(f"{at}/manifest")
+    retired = manifest.where("n_rows = n_records").select("folder", "file_path", F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("long").alias("n_records"), F.lit("delete").alias("op"), "file_id")
+    files = stored.select("folder", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("size_bytes")).groupBy("folder", "file_path", "size_bytes").agg(F.count(F.lit(1)).alias("n_records"))
+    retired.unionByName(files.withColumns({"op": F.lit("put"), "file_id": F.xxhash64("file_path")})).write.mode("overwrite").parquet(f"{at}/log")
+    _replace_pointer(spark, target, version)
+    _remove_others(spark, target, version)
+    return committed(spark, target, "manifest")
+
+
+def compact_store(log: DataFrame, tables: dict[str, DataFrame], target_bytes: int = TARGET_BYTES) -> dict[str, str]:
+    """Compact the files of several record tables that share one log; the target folder of each table. The records of a file may lie in several tables: its rewritten rows are the sum over the manifests."""
     spark = log.sparkSession
     merge = materialize(plan_merge(log), "merge-plan")
-    return {name: compact(records, merge, scratch_path(spark, f"compacted-{name}"), target_bytes) for name, records in tables.items()}
+    targets = {name: scratch_path(spark, f"compacted-{name}") for name in tables}
+    for name, records in tables.items():
+        compact(records, merge, targets[name], target_bytes)
+    return targets
+
+
+def merged_files(spark: SparkSession, targets: dict[str, str]) -> DataFrame:
+    """(file_id, folder, size_bytes, n_records, n_rows, complete) of every file of the plan, over all tables: ``complete`` where the rewritten rows are as many as logged."""
+    every = reduce(DataFrame.unionByName, [committed(spark, target, "manifest") for target in targets.values()])
+    return every.groupBy("file_id", "folder", "size_bytes", "n_records").agg(F.sum("n_rows").alias("n_rows")).withColumn("complete", F.col("n_rows") == F.col("n_records"))

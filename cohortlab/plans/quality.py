@@ -30,22 +30,31 @@ def p4_rows(spark: SparkSession, folder: str) -> DataFrame:
     return line_parsing.parse_label_lines(_read(spark, folder, "train_cls_raw"))[0].select("line_id", "delivery_id", "line_no", "filename", "label")
 
 
-def _compacted(spark: SparkSession, folder: str) -> DataFrame:
+def _compacted(spark: SparkSession, folder: str) -> dict[str, str]:
     tables = {name: _read(spark, folder, name) for name in ("train_cls", "train_augmented2_data")}
-    manifests = compaction.compact_store(_read(spark, folder, "stored_files"), tables)
-    return reduce(DataFrame.unionByName, (m.withColumn("table_name", F.lit(name)) for name, m in manifests.items()))
+    return compaction.compact_store(_read(spark, folder, "stored_files"), tables)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _compacted(spark, folder).select("file_id").distinct()
+    """The merged files: those of the plan whose every logged record was rewritten and committed."""
+    return compaction.merged_files(spark, _compacted(spark, folder)).where("complete").select("file_id")
 
 
 def p5_folders(spark: SparkSession, folder: str) -> DataFrame:
-    merged = _compacted(spark, folder).groupBy("file_id", "folder", "size_bytes", "n_records").agg(F.sum("n_rows").alias("n_rows"))
-    return merged.groupBy("folder").agg(F.count(F.lit(1)).alias("files_merged"), F.sum("size_bytes").alias("bytes_before"), F.sum("n_records").alias("records_logged"), F.sum("n_rows").alias("records_rewritten"))
+    merged = compaction.merged_files(spark, _compacted(spark, folder))
+    return merged.groupBy("folder").agg(
+        F.count(F.lit(1)).alias("files_merged"), F.sum("size_bytes").alias("bytes_before"), F.sum("n_records").alias("records_logged"), F.sum("n_rows").alias("records_rewritten"), F.count_if("complete").alias("files_retired")
+    )
+
+
+def p5_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The well-sized files that took the small ones' place, from the committed logs."""
+    logs = [compaction.committed(spark, target, "log").withColumn("table_name", F.lit(name)) for name, target in _compacted(spark, folder).items()]
+    new = reduce(DataFrame.unionByName, logs).where("op = 'put'")
+    return new.groupBy("table_name", "folder").agg(F.count(F.lit(1)).alias("files_after"), F.sum("n_records").alias("records"), F.sum("size_bytes").alias("bytes_after"), F.max("size_bytes").alias("largest"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p4_found, p4_rows, p5_found, p5_folders)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p4_found, p4_rows, p5_found, p5_folders, p5_files)}
 
 _FIELD = '(?:"[^"]*(?:""[^"]*)*"|[^ \\t"]+)'
 _LINES = f"""
@@ -117,7 +126,7 @@ ORACLES = {
     "p5_found": _CHOSEN + "select file_id from chosen",
     "p5_folders": _CHOSEN + """,
         rec as (select file_id, count(*) as n from (select file_id from train_cls union all select file_id from train_augmented2_data) group by 1)
-        select folder, count(*) as files_merged, sum(size_bytes)::bigint as bytes_before, sum(n_records)::bigint as records_logged, sum(coalesce(n, 0))::bigint as records_rewritten
+        select folder, count(*) as files_merged, sum(size_bytes)::bigint as bytes_before, sum(n_records)::bigint as records_logged, sum(coalesce(n, 0))::bigint as records_rewritten, count(*) filter (coalesce(n, 0) = n_records) as files_retired
         from chosen left join rec using (file_id) group by folder
     """,
 }
