@@ -195,6 +195,21 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def oversized(packed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Keys of the documents that had to be cut."""
-    return packed.where(F.col("piece") == 0).where(F.col("n_tokens") > F.col("piece_tokens")).select(key)
+def divided(packed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Keys of the documents whose placed pieces lie in more than one container. Every item has a piece 0, so repeated rows of a small document are not taken for pieces."""
+    placed = packed.groupBy(key).agg(F.max("piece").alias("_last"), (F.min("container") != F.max("container")).alias("_apart"))
+    return placed.where((F.col("_last") > 0) & F.col("_apart")).select(key)
+
+
+def verdict(packed: DataFrame, documents: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """One row: documents packed, overfull containers, documents not placed whole or placed twice, documents cut without need, and whether at most a tenth more containers than the least possible (and one) are used. Keys must be unique."""
+    bins = packed.groupBy("container").agg(F.sum("piece_tokens").alias("_filled"))
+    bins = bins.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("_filled"), F.lit(0)).alias("_tokens"), F.count_if(F.col("_filled") > capacity).alias("overfull"))
+    whole = packed.groupBy(key).agg(F.sum("piece_tokens").alias("_placed"), F.count(F.lit(1)).alias("_pieces"))
+    joined = documents.where(F.col(size) > 0).select(key, size).join(whole, key, "left")
+    per = joined.agg(
+        F.count("_placed").alias("documents_packed"),
+        F.count_if(~F.col("_placed").eqNullSafe(F.col(size))).alias("not_whole"),
+        F.count_if((F.col("_pieces") > 1) & (F.col(size) <= capacity)).alias("needlessly_cut"),
+    )
+    return per.crossJoin(bins).select("documents_packed", "overfull", "not_whole", "needlessly_cut", (F.col("_n") <= 1 + 1.1 * F.ceil(F.col("_tokens") / capacity)).alias("near_least"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import mixing, neighbours, overlap, packing, readability, sampling, tokens
+from cohortlab.session import materialize
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -24,8 +27,23 @@ def _samples(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, Dat
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    reports = [report for _, _, report in _samples(spark, folder)]
-    return reports[0].unionByName(reports[1]).where(~F.col("met")).select("request_id", "category")
+    return p1_report(spark, folder).where(~F.col("enough_available")).select("request_id", "category")
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Need, available, sampled and share of every request and category, and which needs were not met."""
+    return reduce(DataFrame.unionByName, [report for _, _, report in _samples(spark, folder)])
+
+
+def p1_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Per request what must hold of any sample: its size, floors kept as far as there are items and the sample has room for them, no item twice."""
+    out = []
+    for source, drawn, report in _samples(spark, folder):
+        floors = _read(spark, folder, "sample_requests").where(F.col("source_table") == source).join(_read(spark, folder, "target_shares"), ["source_table", "target_set"]).select("request_id", "category", "min_keep")
+        kept = report.join(floors, ["request_id", "category"]).groupBy("request_id").agg(F.min(F.col("sampled") >= F.least("min_keep", "available")).alias("_kept"), (F.sum(F.least("min_keep", "available")) > F.max("sampled_size")).alias("_too_many"))
+        sizes = drawn.groupBy("request_id").agg(F.count(F.lit(1)).alias("sampled_size"), F.countDistinct("key").alias("_keys"))
+        out.append(kept.join(sizes, "request_id", "left").fillna(0, ["sampled_size", "_keys"]).select("request_id", (F.col("_kept") | F.col("_too_many")).alias("floors_kept"), "sampled_size", (F.col("sampled_size") - F.col("_keys")).alias("repeated")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,19 +85,46 @@ def _sized(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.oversized(packing.pack(_sized(spark, folder), _capacity(spark, folder))).distinct()
+    return packing.divided(p7_containers(spark, folder))
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_sized(spark, folder), _capacity(spark, folder))
 
 
+def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of any packing: all placed whole, none overfull, none cut without need, few containers."""
+    sized, capacity = materialize(_sized(spark, folder), "sized"), _capacity(spark, folder)
+    return packing.verdict(materialize(packing.pack(sized, capacity), "packed"), sized, capacity)
+
+
+def _mixed(spark: SparkSession, folder: str, **options) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_sized(spark, folder, "source"), _read(spark, folder, "source_targets"), **options)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(_sized(spark, folder, "source"), _read(spark, folder, "source_targets"))[1].where(~F.col("reachable")).select("source")
+    return p8_report(spark, folder).where("exhausted").select("source")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Goal and actual tokens, documents and shares of each source."""
+    return _mixed(spark, folder)[1]
+
+
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Per listed source what must hold of any mixture: documents used too often, documents of another source, and whether the tokens are within 1 % of the goal (or the largest document) or all documents used up. Keys are unique."""
+    mixture, report = _mixed(spark, folder)
+    documents = _read(spark, folder, "documents").select("doc_id", F.col("source").alias("_source"))
+    limits = _read(spark, folder, "source_targets").select("source", F.col("max_repeats").alias("_most"))
+    per = mixture.join(documents, "doc_id").join(limits, "source").groupBy("source").agg(F.count_if(F.col("copies") > F.col("_most")).alias("over_repeats"), F.count_if(F.col("source") != F.col("_source")).alias("foreign"), F.max("n_tokens").alias("_largest"))
+    off = F.abs(F.col("actual_tokens") - F.col("need_tokens"))
+    close = F.col("exhausted") | (off <= F.greatest(0.01 * F.col("need_tokens"), F.col("_largest")))
+    joined = report.join(per, "source", "left").fillna(0, ["over_repeats", "foreign"])
+    return joined.select("source", F.col("source_docs").alias("documents"), close.alias("as_close_as_can_be"), "over_repeats", "foreign")
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(_sized(spark, folder, "source"), _read(spark, folder, "source_targets"))[0]
+    return _mixed(spark, folder)[0]
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +137,10 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_sample, p3_found, p3_neighbours, p6_found, p6_report, p7_found, p7_containers, p8_found, p8_mixture, p9_found, p9_levels)}
+    return {f.__name__: f for f in (
+        p1_found, p1_sample, p1_report, p1_check, p3_found, p3_neighbours, p6_found, p6_report, p7_found, p7_containers, p7_check,
+        p8_found, p8_mixture, p8_report, p8_check, p9_found, p9_levels,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -112,4 +160,21 @@ def oracle_sql() -> dict[str, str]:
             left join available a on a.source_table = r.source_table and a.batch_id = r.batch_id and a.category = t.category
             where coalesce(a.n, 0) < greatest(t.min_keep, (r.sample_size * t.target_pct + 99) // 100)
         """,
+        "p1_check": """
+            with item as (
+                select distinct 'ovarian_patient_data' as source_table, load_id as batch_id, record_id as item, risklabel as category
+                from ovarian_patient_data where record_id is not null and risklabel is not null
+                union all
+                select distinct 'train_cls', list_id, lower(regexp_replace(filename, '(.)\\.[^.]*$', '\\1')), label
+                from train_cls where filename is not null and label is not null
+            ),
+            have as (
+                select r.request_id, count(distinct i.item) as n
+                from sample_requests r join target_shares t using (source_table, target_set)
+                join item i on i.source_table = r.source_table and i.batch_id = r.batch_id and i.category = t.category group by 1
+            )
+            select request_id, true as floors_kept, least(sample_size, coalesce(n, 0)) as sampled_size, 0::bigint as repeated from sample_requests left join have using (request_id)
+        """,
+        "p7_check": "select count(*) filter (length(text) > 0) as documents_packed, 0::bigint as overfull, 0::bigint as not_whole, 0::bigint as needlessly_cut, true as near_least from documents",
+        "p8_check": "select t.source, count(d.doc_id) as documents, true as as_close_as_can_be, 0::bigint as over_repeats, 0::bigint as \"foreign\" from source_targets t left join documents d using (source) group by t.source",
     }

@@ -14,22 +14,30 @@ a batch without rows gives an empty sample and a report of unmet categories;
 a request whose target set is unknown, or without id, gives nothing; a missing
 or negative sample size is 0, a missing share or floor is 0; ties among equally
 good exchanges go to the lowest signature. Two requests with one id are drawn
-as one.
+as one. A share may be fractional; batches and categories may be of any type.
+The report says for each category how many are needed (the larger of the floor
+and the share rounded up), available and sampled, whether enough are available,
+and whether the need was met, which rounding or the floors of other categories
+can prevent even where enough are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlab.operators.joins import checked_join
 from cohortlab.operators.ranking import hash_bucket
 from cohortlab.session import materialize
 
-BUCKETS = 1024
+#: Hash buckets of a draw, and records of a group joined in one task.
+BUCKETS, TASK_ROWS = 1024, 100_000
 
 
 def repair(signatures: list[tuple[int, ...]], available: np.ndarray, categories: list[int], pct: np.ndarray, floors: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -88,6 +96,9 @@ def sample(requests: DataFrame, records: DataFrame, targets: DataFrame) -> tuple
     category, target_pct, min_keep. The sample has request_id, batch_id, key;
     the report a row per request and category of its target set.
     """
+    kinds = {"batch_id": dict(requests.dtypes)["batch_id"], "category": dict(targets.dtypes)["category"]}
+    # batches and categories of any type travel as text
+    requests, records, targets = (df.withColumns({c: F.col(c).cast("string") for c in kinds if c in df.columns}) for df in (requests, records, targets))
     requests = requests.where(F.col("request_id").isNotNull()).withColumns({"sample_size": F.greatest(F.coalesce("sample_size", F.lit(0)), F.lit(0))})
     targets = targets.where(F.col("category").isNotNull()).fillna(0, ["target_pct", "min_keep"])
     wanted = targets.select("category").distinct()
@@ -104,7 +115,6 @@ def sample(requests: DataFrame, records: DataFrame, targets: DataFrame) -> tuple
     by_batch = counts.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("signature", "n"))).alias("signatures"))
     sets = targets.groupBy("target_set").agg(F.array_sort(F.collect_list(F.struct("category", "target_pct", "min_keep"))).alias("targets"))
     tasks = requests.select("request_id", "target_set", "batch_id", "sample_size").join(sets, "target_set").join(by_batch, "batch_id", "left")
-    tasks = tasks.withColumn("batch_id", F.col("batch_id").cast("string"))  # a null would turn whole numbers into floats on the way through Python
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -122,29 +132,37 @@ def sample(requests: DataFrame, records: DataFrame, targets: DataFrame) -> tuple
                 lines = []
                 for t in goal:
                     has = np.array([t["category"] in s for s in sets_], dtype=np.int64)
-                    need = max(int(t["min_keep"]), -(-int(r.sample_size) * int(t["target_pct"]) // 100))
-                    lines.append({"category": int(t["category"]), "need": need, "available": int(n @ has) if len(n) else 0, "sampled": int(take @ has) if len(n) else 0})
+                    need = max(int(t["min_keep"]), math.ceil(int(r.sample_size) * Fraction(str(t["target_pct"])) / 100))
+                    lines.append({"category": t["category"], "need": need, "available": int(n @ has) if len(n) else 0, "sampled": int(take @ has) if len(n) else 0})
                 rows.append((r.request_id, r.batch_id, int(take.sum()) if len(n) else 0, quota, lines))
             yield pd.DataFrame(rows, columns=["request_id", "batch_id", "sampled_size", "quota", "lines"])
 
-    schema = "request_id long, batch_id string, sampled_size long, quota array<struct<signature:array<bigint>,n:bigint,take:bigint>>, lines array<struct<category:bigint,need:bigint,available:bigint,sampled:bigint>>"
+    schema = "request_id long, batch_id string, sampled_size long, quota array<struct<signature:array<string>,n:bigint,take:bigint>>, lines array<struct<category:string,need:bigint,available:bigint,sampled:bigint>>"
     solved = materialize(tasks.repartition("request_id").mapInPandas(solve, schema), "quotas")
     report = (
         solved.select("request_id", "sampled_size", F.explode("lines").alias("_l"))
         .select("request_id", "sampled_size", "_l.*")
-        .withColumn("met", F.col("available") >= F.col("need"))
+        .withColumn("category", F.col("category").cast(kinds["category"]))
+        .withColumn("enough_available", F.col("available") >= F.col("need"))
+        .withColumn("met", F.col("sampled") >= F.col("need"))
+        .withColumn("short", F.greatest(F.col("need") - F.col("sampled"), F.lit(0)))
         .withColumn("sampled_pct", 100 * F.try_divide("sampled", "sampled_size"))
     )
-    quotas = solved.select("request_id", F.col("batch_id").cast("long").alias("batch_id"), F.explode("quota").alias("_q")).select("request_id", "batch_id", "_q.signature", "_q.take").where("take > 0")
-    return draw(signed, quotas), report
+    quotas = solved.select("request_id", "batch_id", F.explode("quota").alias("_q")).select("request_id", "batch_id", "_q.signature", "_q.take").where("take > 0")
+    drawn = draw(signed, quotas, counts)
+    return drawn.withColumn("batch_id", F.col("batch_id").cast(kinds["batch_id"])), report
 
 
-def draw(signed: DataFrame, quotas: DataFrame) -> DataFrame:
-    """``take`` random records of each (request, batch, signature). Joining happens per hash bucket, so a huge batch is spread over tasks."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt")
-    spread = quotas.select("request_id", "batch_id", "signature", "take", salts)
+def draw(signed: DataFrame, quotas: DataFrame, counts: DataFrame) -> DataFrame:
+    """``take`` random records of each (request, batch, signature). Groups of more than ``TASK_ROWS`` records are joined in as many salts as their counted size asks for."""
+    large = counts.where(F.col("n") > TASK_ROWS).select("batch_id", "signature", F.ceil(F.col("n") / TASK_ROWS).cast("int").alias("_salts"))
+    large = materialize(large, "large-groups")
+    salted = lambda df: checked_join(df, large, ["batch_id", "signature"], "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    spread = salted(quotas.select("request_id", "batch_id", "signature", "take")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     joined = (
-        signed.withColumn("_salt", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(16)).cast("int"))
+        salted(signed)
+        .withColumn("_salt", F.pmod(F.xxhash64("key", F.lit(3)), F.col("_salts")).cast("int"))
+        .drop("_salts")
         .join(spread, ["batch_id", "signature", "_salt"])
         .withColumn("_bucket", hash_bucket(F.col("request_id"), F.col("key"), buckets=BUCKETS))
     )

@@ -48,8 +48,8 @@ def test_shares(spark, monkeypatch, block):
         own = [r for r in rows if r.source == source]
         assert sum(r.copies * r.n_tokens for r in own) == lines[source].actual_tokens and max(r.copies for r in own) <= most
     for source in "ab":
-        assert lines[source].actual_tokens == pytest.approx(lines[source].need_tokens, rel=0.01) and lines[source].reachable
-    assert {s for s, r in lines.items() if not r.reachable} == {"c", "d"} and lines["d"].actual_tokens == 0 and lines["c"].actual_tokens == 2 * lines["c"].source_tokens
+        assert lines[source].actual_tokens == pytest.approx(lines[source].need_tokens, rel=0.001) and not lines[source].exhausted
+    assert {s for s, r in lines.items() if r.exhausted} == {"c", "d"} and lines["d"].actual_tokens == 0 and lines["c"].actual_tokens == 2 * lines["c"].source_tokens
     copies = {r.copies for r in rows if r.source == "b"}
     assert max(copies) - min(copies) <= 1
     assert sum(r.actual_pct for r in lines.values()) == pytest.approx(100)
@@ -58,7 +58,7 @@ def test_shares(spark, monkeypatch, block):
 def test_exact_limit_and_empty(spark):
     docs = spark.createDataFrame([(1, "a", 50), (2, "b", 50)], DOCS)
     mixture, report = mixing.mix(docs, spark.createDataFrame([("a", 50, 1), ("b", 50, 1), ("z", 0, 1)], TARGETS))
-    assert all(r.reachable for r in report.collect()) and mixture.count() == 2
+    assert not any(r.exhausted for r in report.collect()) and mixture.count() == 2
     mixture, report = mixing.mix(docs.limit(0), spark.createDataFrame([("a", 100, 1)], TARGETS))
     assert mixture.count() == 0 and report.first().actual_pct is None
 
@@ -67,4 +67,25 @@ def test_nulls_in_any_column(spark):
     docs = spark.createDataFrame([(None, "a", 50), (2**60 + 1, "a", None), (3, None, 5), (2**60 + 3, "a", 70), (None, "a", 50)], DOCS)
     mixture, report = mixing.mix(docs, spark.createDataFrame([("a", 50, 1), (None, 50, 1), ("b", None, None)], TARGETS))
     assert {r.doc_id for r in mixture.collect()} <= {None, 2**60 + 1, 2**60 + 3}
-    assert {r.source: r.reachable for r in report.collect()} == {"a": True, "b": True}
+    assert not any(r.exhausted for r in report.collect())
+
+
+def test_few_documents_land_near_their_share(spark):
+    docs = documents(spark, {"a": 400, "b": 40}, seed=3)
+    lines = {r.source: r for r in mixing.mix(docs, spark.createDataFrame([("a", 95, 3), ("b", 5, 3)], TARGETS))[1].collect()}
+    assert lines["b"].source_tokens > lines["b"].need_tokens
+    assert all(abs(r.actual_tokens - r.need_tokens) <= 0.005 * r.need_tokens for r in lines.values())
+
+
+def test_kept_shares(spark):
+    docs = documents(spark, {"a": 900, "b": 300, "c": 30})
+    targets = spark.createDataFrame([("a", 40, 1), ("b", 40, 5), ("c", 20, 2)], TARGETS)
+    lines = {r.source: r for r in mixing.mix(docs, targets, keep_shares=True)[1].collect()}
+    assert all(abs(r.actual_pct - r.target_pct) < 0.5 and not r.exhausted for r in lines.values())
+
+
+def test_documents_without_tokens_are_used_up(spark):
+    docs = spark.createDataFrame([(1, "a", 100), (2, "b", 0), (3, "b", 0)], DOCS)
+    mixture, report = mixing.mix(docs, spark.createDataFrame([("a", 50, 2), ("b", 50, 2)], TARGETS))
+    assert {r.doc_id: r.copies for r in mixture.collect()} in ({1: 1, 2: 2, 3: 2}, {2: 2, 3: 2})
+    assert {r.source: r.exhausted for r in report.collect()} == {"a": False, "b": True}

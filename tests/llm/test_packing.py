@@ -64,7 +64,7 @@ def test_pack(spark, hot):
     assert per == {i: s for i, s in enumerate(sizes) if s > 0} and max(filled.values()) <= 10
     pieces = Counter(r.doc_id for r in rows)
     assert {i for i, n in pieces.items() if n > 1} == {4, 5, 6} and pieces[6] == 3 and pieces[5] == 3
-    assert sorted(r.doc_id for r in packing.oversized(packing.pack(df, 10)).collect()) == [4, 5, 6]
+    assert sorted(r.doc_id for r in packing.divided(packing.pack(df, 10)).collect()) == [4, 5, 6]
     assert len({(r.container) for r in rows if r.container < 0}) == sum(r.container < 0 for r in rows)
     report = packing.fill_report(packing.pack(df, 10), 10).first()
     assert report.tokens == sum(sizes) and report.fullest <= 10
@@ -72,10 +72,21 @@ def test_pack(spark, hot):
 
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, 4)] * 5, "doc_id long, n_tokens long")
-    assert packing.pack(df, 10).count() == 5
+    assert packing.pack(df, 10).count() == 5 and packing.divided(packing.pack(df, 10)).count() == 0
+    two = spark.createDataFrame([(1, 4), (2, 25)], "doc_id long, n_tokens long")
+    assert tuple(packing.verdict(packing.pack(two, 10), two, 10).first()) == (2, 0, 0, 0, True)
+    crooked = packing.pack(two, 10).where("container < 0 or doc_id = 1")
+    assert packing.verdict(crooked, two, 10).first().not_whole == 1
+    assert tuple(packing.verdict(packing.pack(two.limit(0), 10), two.limit(0), 10).first()) == (0, 0, 0, 0, True)
     assert packing.pack(df.limit(0), 10).count() == 0
 
 
+def test_divided_documents_come_from_placed_containers(spark):
+    df = spark.createDataFrame([(1, 4), (2, 25), (3, 20)], "doc_id long, n_tokens long")
+    plan = packing.divided(packing.pack(df, 10))._jdf.queryExecution().optimizedPlan().toString()
+    assert "container" in plan and "Window" in plan
+
+
 def test_token_counts(spark):
     import os
 

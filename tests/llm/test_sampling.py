@@ -64,6 +64,25 @@ def test_floors_hold_for_small_categories(spark):
     targets = spark.createDataFrame([("t", 0, 99, 0), ("t", 1, 1, 5)], TARGETS)
     _, report = sampling.sample(spark.createDataFrame([(1, "t", 1, 100)], REQUESTS), records, targets)
     assert {r.category: r.sampled for r in report.collect()} == {0: 95, 1: 5}
+    lines = {r.category: r for r in report.collect()}
+    assert lines[0].enough_available and not lines[0].met and lines[0].short == 4 and lines[1].met
+
+
+def test_fractional_shares_and_texts_as_categories(spark):
+    records = spark.createDataFrame([("x", f"a{i}", "low") for i in range(100)] + [("x", f"b{i}", "high") for i in range(100)], "batch_id string, key string, category string")
+    targets = spark.createDataFrame([("t", "low", 12.5, 0), ("t", "high", 87.5, 0)], "target_set string, category string, target_pct double, min_keep long")
+    requests = spark.createDataFrame([(1, "t", "x", 80), (2, "t", "x", 81)], "request_id long, target_set string, batch_id string, sample_size long")
+    drawn, report = sampling.sample(requests, records, targets)
+    assert {(r.request_id, r.category): (r.need, r.sampled) for r in report.collect() if r.request_id == 1} == {(1, "low"): (10, 10), (1, "high"): (70, 70)}
+    assert {r.category: r.need for r in report.collect() if r.request_id == 2} == {"low": 11, "high": 71} and {r.batch_id for r in drawn.collect()} == {"x"}
+
+
+def test_large_groups_are_drawn_in_salts(spark, monkeypatch):
+    targets = spark.createDataFrame([("t", 0, 50, 3), ("t", 1, 30, 3), ("t", 2, 20, 3)], TARGETS)
+    requests = spark.createDataFrame([(10, "t", 1, 60)], REQUESTS)
+    whole = sorted(map(tuple, sampling.sample(requests, table(spark), targets)[0].collect()))
+    monkeypatch.setattr(sampling, "TASK_ROWS", 7)
+    assert sorted(map(tuple, sampling.sample(requests, table(spark), targets)[0].collect())) == whole
 
 
 def test_empty(spark):
@@ -85,4 +104,4 @@ def test_nulls_in_any_column(spark):
     requests = spark.createDataFrame([(1, "t", 1, 6), (None, "t", 1, 6), (2, None, 1, 6), (3, "t", None, 6), (4, "t", 1, None)], REQUESTS)
     drawn, report = sampling.sample(requests, table(spark), targets)
     assert {r.request_id for r in drawn.collect()} == {1} and drawn.count() == 6
-    assert {(r.request_id, r.category, r.met) for r in report.collect()} == {(1, 0, True), (1, 1, True), (3, 0, False), (3, 1, False), (4, 0, True), (4, 1, True)}
+    assert {(r.request_id, r.category, r.met) for r in report.collect()} == {(1, 0, True), (1, 1, True), (3, 0, False), (3, 1, False), (4, 0, True), (4, 1, False)}  # 4 asks for no items, so the floor of 1 is not met
