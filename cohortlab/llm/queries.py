@@ -63,6 +63,18 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return _near(spark, folder)
 
 
+def p3_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The true neighbours of every vector whose id is divisible by 50, against all rows."""
+    return neighbours.exact(_read(spark, folder, "dl_train_data").select("vec_id", "x_train")).select("vec_id", "rank", "neighbour_id")
+
+
+def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the true neighbours of those vectors the graphs find, and whether that is 99 % of them."""
+    truth = materialize(neighbours.exact(_read(spark, folder, "dl_train_data").select("vec_id", "x_train")), "truth")
+    measured = neighbours.recall(_near(spark, folder), truth)
+    return measured.select("queries", "neighbours", (F.col("found") >= 0.99 * F.col("neighbours")).alias("recall_reached"))
+
+
 def _across(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     evaluation = _read(spark, folder, "validation_data")
     return overlap.cross_split(_read(spark, folder, "train_augmented2_data"), evaluation), evaluation
@@ -138,11 +150,20 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        p1_found, p1_sample, p1_report, p1_check, p3_found, p3_neighbours, p6_found, p6_report, p7_found, p7_containers, p7_check,
+        p1_found, p1_sample, p1_report, p1_check, p3_found, p3_neighbours, p3_exact, p3_recall, p6_found, p6_report, p7_found, p7_containers, p7_check,
         p8_found, p8_mixture, p8_report, p8_check, p9_found, p9_levels,
     )}
 
 
+_EXACT = """
+    with v as (select distinct vec_id, x_train::double[] as x from dl_train_data where len(x_train) = 32 and len(list_filter(x_train, lambda e: e is null or isnan(e) or isinf(e))) = 0),
+    ranked as (
+        select a.vec_id as a, b.vec_id as b, row_number() over (partition by a.vec_id order by list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), b.vec_id) as rank
+        from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+    )
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": """
@@ -175,6 +196,8 @@ def oracle_sql() -> dict[str, str]:
             )
             select request_id, true as floors_kept, least(sample_size, coalesce(n, 0)) as sampled_size, 0::bigint as repeated from sample_requests left join have using (request_id)
         """,
+        "p3_exact": _EXACT + "select a as vec_id, rank::int as rank, b as neighbour_id from ranked where rank <= 5",
+        "p3_recall": _EXACT + "select count(distinct a) as queries, count(*) as neighbours, true as recall_reached from ranked where rank <= 5",
         "p7_check": "select count(*) filter (length(text) > 0) as documents_packed, 0::bigint as overfull, 0::bigint as not_whole, 0::bigint as needlessly_cut, true as near_least from documents",
         "p8_check": "select t.source, count(d.doc_id) as documents, true as as_close_as_can_be, 0::bigint as over_repeats, 0::bigint as \"foreign\" from source_targets t left join documents d using (source) group by t.source",
     }
