@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -18,6 +19,8 @@ DEFAULTS = {
 
 def local_session(cores: int | str = 8, app: str = "cohortlab", **conf: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
+    for threads in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        os.environ.setdefault(threads, "1")  # a Python worker per core: matrix products must not start threads of their own
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     settings = DEFAULTS | {
         "spark.sql.shuffle.partitions": "8",
