@@ -1,18 +1,23 @@
 """Same and near-same pictures across splits, by content-defined chunks.
 
 A picture is normalised to a record: mean removed, scaled to length one,
-transformed by a cosine transform, and written as the signs of its lowest
-frequencies in several fixed orders (of the grey mean and of single channels).
-A rolling hash over the last ``WINDOW`` signs cuts the record into chunks; chunk
-digests are joined across splits and the lengths of shared chunks are summed
-into an overlap fraction per pair. Mirroring a picture only flips known signs,
-so the evaluation side is entered in four positions. A change that spreads over
-all frequencies (a patch, noise equal in all channels) can leave a near pair
-without a common chunk, so blocks of both sides are also compared in full by an
-upper bound of the correlation from the low frequencies alone, which loses
-nothing; such pairs have an overlap of 0. Candidates from either way are then
-checked exactly on all stored values. The comparison in blocks costs a product
-of the two sides' distinct pictures.
+transformed by a cosine transform, and written as a sequence of symbols, the
+signs of its lowest frequencies in several fixed orders (of the grey mean and of
+single channels). A rolling hash over the last ``WINDOW`` symbols cuts each order
+into chunks between ``SHORTEST`` and ``LONGEST`` + ``SHORTEST`` symbols that cover it
+whole; a chunk's digest holds its symbols and no position, and after a changed
+symbol the cuts fall into step again. Chunk digests are joined across splits, and
+the lengths of shared chunks are summed into the overlap fraction of a pair,
+which is 1 for equal pictures. Mirroring a picture only flips known signs, so
+the evaluation side is entered in four positions.
+
+Pairs that share at least ``LEAST_OVERLAP`` of their records, by digests that are
+not ``POPULAR``, are candidates. A change that spreads over all frequencies (a
+patch, noise equal in all channels) can leave a near pair below that. The exact
+way for the rest: training pictures lie in boxes of their low frequencies, an
+evaluation picture is compared with those boxes that can hold a picture near
+enough, by an upper bound of the correlation that cuts nothing off. All
+candidates are then checked on all stored values.
 
 Equal pictures are one class, found by a 128-bit content digest, so copies are
 chunked, joined and checked once.
@@ -20,7 +25,8 @@ chunked, joined and checked once.
 Defined results: null pictures, pictures of another size, with a null, NaN or
 infinite value, and blank ones (one value within each channel) form no pair;
 repeated rows of one id give the pair once; an empty table gives no pairs; a
-null origin is reported as null.
+null origin is reported as null; pairs found by the exact way alone have the
+overlap their records have, which may be 0.
 """
 
 from __future__ import annotations
@@ -30,61 +36,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.llm.shards import Tree, box, reaches
 from cohortlab.operators.joins import checked_join
 from cohortlab.session import materialize
 
-#: A picture's channels and side, and the least correlation of a near copy.
+#: Channels and side of a picture where none are given, and the least correlation of a near copy.
 CHANNELS, SIDE, ALIKE = 3, 16, 0.97
-#: Signs per order, number of orders, chunk lengths, rolling window, and one cut in so many positions.
-SIGNS, ORDERS, SHORTEST, LONGEST, WINDOW, CUT = 48, 16, 20, 24, 8, 4
-#: Pictures worked on at once within an Arrow batch, which bounds a worker's memory.
-PART = 1024
-#: Pairs sharing less of their records than this are not checked further; 0 keeps every pair that shares a chunk.
-LEAST_OVERLAP = 0.0
-#: Pictures in a block of the training and of the evaluation side that are compared in full.
-BLOCK_T, BLOCK_V = 8192, 32768
-#: Low frequencies compared first, the others for the pairs left; and what rounding may take from a bound.
-FIRST, SLACK = 16, 1e-4
+#: Symbols per order, number of orders, shortest and longest chunk, rolling window, and one cut in so many positions.
+SIGNS, ORDERS, SHORTEST, LONGEST, WINDOW, CUT = 48, 16, 16, 28, 8, 6
+#: The least share of the record that candidates have in common, about two chunks; and how many training pictures may share a digest that is used to find them.
+LEAST_OVERLAP, POPULAR = 0.05, 1000
+#: Values worked on at once within an Arrow batch, which bounds a worker's memory.
+PART_VALUES = 1024 * 768
+#: Training pictures in a box, the largest sample the boxes are fitted on, sampled pictures per box, and evaluation pictures compared in one task.
+BOX_ROWS, SAMPLE, LEAF_SAMPLE, TASK_ROWS = 4096, 500_000, 12, 16_384
+#: Low frequencies compared first, the others for the pairs left; what rounding may take from a bound; rows of a matrix product.
+FIRST, SLACK, PART = 16, 1e-4, 1024
 MIRRORS = ("as stored", "left-right", "top-bottom", "both")
 
 
-def _cosines() -> np.ndarray:
-    n = np.arange(SIDE)
-    rows = np.sqrt(2 / SIDE) * np.cos(np.pi * (n[None] + 0.5) * n[:, None] / SIDE)
-    rows[0] /= np.sqrt(2)
-    return rows
-
-
 def _low() -> list[tuple[int, int]]:
     """The lowest frequencies (vertical, horizontal) without the constant one."""
-    return sorted(((u, v) for u in range(SIDE) for v in range(SIDE) if u or v), key=lambda f: (f[0] ** 2 + f[1] ** 2, f))[:SIGNS]
+    most = int(SIGNS**0.5) + 8
+    return sorted(((u, v) for u in range(most) for v in range(most) if u or v), key=lambda f: (f[0] ** 2 + f[1] ** 2, f))[:SIGNS]
 
 
-def _orders(low: list[tuple[int, int]]) -> list[tuple[int, list[int]]]:
-    """(component, order of the frequencies): component 0 is the grey mean, 1.. are the channels."""
-    plain = list(range(len(low)))
-    out = [(0, plain), (1, sorted(plain, key=lambda i: low[i])), (2, sorted(plain, key=lambda i: low[i][::-1]))]
-    rng = np.random.default_rng(5)
-    for k in range(ORDERS - len(out)):
-        out.append((k % (CHANNELS + 1), rng.permutation(len(low)).tolist()))
+def _cosines(side: int, rows: int) -> np.ndarray:
+    n = np.arange(side)
+    out = np.sqrt(2 / side) * np.cos(np.pi * (n[None] + 0.5) * np.arange(rows)[:, None] / side)
+    out[0] /= np.sqrt(2)
     return out
 
 
-def transform(pictures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _orders(channels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(component, frequencies) of each order: component 0 is the grey mean, 1.. are the channels."""
+    low, plain = _low(), list(range(SIGNS))
+    parts = [0, 1 % (channels + 1), 2 % (channels + 1)]
+    orders = [plain, sorted(plain, key=lambda i: low[i]), sorted(plain, key=lambda i: low[i][::-1])]
+    rng = np.random.default_rng(5)
+    for k in range(ORDERS - len(orders)):
+        parts.append(k % (channels + 1))
+        orders.append(rng.permutation(SIGNS).tolist())
+    return np.array(parts), np.array(orders)
+
+
+def transform(pictures: np.ndarray, channels: int = CHANNELS, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
     """[n, 1 + channels, SIGNS] low-frequency coefficients of unit-length pictures (grey mean first), and which pictures are usable."""
-    x = pictures.reshape(len(pictures), CHANNELS, SIDE, SIDE).astype(np.float64)
+    x = pictures.reshape(len(pictures), channels, side, side).astype(np.float64)
     usable = np.isfinite(x).all((1, 2, 3)) & ~(np.ptp(np.where(np.isfinite(x), x, 0), axis=(2, 3)) == 0).all(1)
     x = np.where(usable[:, None, None, None], x, 0)
     x = x - x.mean((1, 2, 3), keepdims=True)
     x /= np.maximum(np.sqrt((x * x).sum((1, 2, 3), keepdims=True)), 1e-30)
-    rows = _cosines()
-    waves = rows @ x @ rows.T
     u, v = np.array(_low()).T
-    channels = waves[:, :, u, v]
-    return np.concatenate([channels.sum(1, keepdims=True) / np.sqrt(CHANNELS), channels], axis=1), usable
+    rows = _cosines(side, max(u.max(), v.max()) + 1)
+    waves = rows @ x @ rows.T
+    of_channels = waves[:, :, u, v]
+    return np.concatenate([of_channels.sum(1, keepdims=True) / np.sqrt(channels), of_channels], axis=1), usable
 
 
 def parity(mirror: int) -> np.ndarray:
@@ -94,40 +104,52 @@ def parity(mirror: int) -> np.ndarray:
 
 
 def chunks(waves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, digest, length) of every chunk of every record; a chunk's digest holds its signs and where it starts."""
+    """(row, digest, length) of every chunk of every record; the chunks of an order cover it whole."""
+    parts, orders = _orders(waves.shape[1] - 1)
+    signs = waves[:, parts[:, None], orders] >= -1e-6  # what is 0 but for rounding counts as positive
+    # a symbol is a component, a frequency and a sign, whatever its place
+    symbols = np.random.default_rng(7).integers(1, 2**63, (2, int(parts.max()) + 1, SIGNS), dtype=np.uint64)
+    plus, minus = symbols[0][parts[:, None], orders], symbols[1][parts[:, None], orders]
+    base, mixer = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
     n = len(waves)
-    signs = np.concatenate([waves[:, part, order] for part, order in _orders(_low())], axis=1) >= 0
-    out = []
-    start, window, digest = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.uint64)
+    length = np.zeros((n, ORDERS), dtype=np.int64)
+    digest = np.zeros((n, ORDERS), dtype=np.uint64)
+    rolled = np.zeros((n, ORDERS), dtype=np.uint64)
+    seen, out = [], []
     with np.errstate(over="ignore"):
-        for i in range(signs.shape[1]):
-            if i % SIGNS == 0:  # chunks do not run across orders
-                start[:], window[:], digest[:] = i, 0, i + 1
-            sign = signs[:, i]
-            window = ((window << 1) | sign) & ((1 << WINDOW) - 1)
-            digest = digest * np.uint64(0x9E3779B97F4A7C15) + sign.astype(np.uint64) + np.uint64(1)
+        gone = base ** np.uint64(WINDOW)
+        for i in range(SIGNS):
+            symbol = np.where(signs[:, :, i], plus[:, i], minus[:, i])
+            seen.append(symbol)
+            rolled = rolled * base + symbol
+            if i >= WINDOW:
+                rolled -= seen[i - WINDOW] * gone
+            digest = (digest ^ symbol) * mixer
             digest ^= digest >> np.uint64(29)
-            length = i - start + 1
-            cut = ((length >= SHORTEST) & (((window * 2654435761) >> 7) % CUT == 0)) | (length >= LONGEST) | (i % SIGNS == SIGNS - 1)
-            rows = np.flatnonzero(cut & (length >= SHORTEST))
-            out.append((rows, digest[rows] ^ (start[rows].astype(np.uint64) << np.uint64(50)), length[rows]))
-            start[cut], digest[cut] = i + 1, i + 2
+            length += 1
+            wanted = ((length >= SHORTEST) & ((rolled >> np.uint64(33)) % np.uint64(CUT) == 0)) | (length >= LONGEST)
+            # the rest of the order must be long enough for a chunk of its own
+            cut = np.ones_like(wanted) if i == SIGNS - 1 else wanted & (SIGNS - 1 - i >= SHORTEST)
+            rows, cols = np.nonzero(cut)
+            out.append((rows, digest[rows, cols], length[rows, cols]))
+            length[cut], digest[cut] = 0, 0
     return tuple(np.concatenate(columns) for columns in zip(*out))
 
 
-def records(table: DataFrame, key: str, picture: str, mirrors: tuple[int, ...]) -> DataFrame:
+def records(table: DataFrame, key: str, picture: str, mirrors: tuple[int, ...], channels: int = CHANNELS, side: int = SIDE) -> DataFrame:
     """(id, content, mirror, low, digests, lengths) of the usable pictures, a row per mirroring; ``content`` tells equal pictures."""
-    size = CHANNELS * SIDE * SIDE
+    size = channels * side * side
     schema = "id long, content binary, mirror int, low array<float>, digests array<bigint>, lengths array<int>"
+    at_once = max(1, PART_VALUES // size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for begin in range(0, len(frame), PART):
-                yield from part(frame.iloc[begin : begin + PART])
+            for begin in range(0, len(frame), at_once):
+                yield from part(frame.iloc[begin : begin + at_once])
 
     def part(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         stored = np.stack(frame["picture"].to_numpy()).astype(np.float32) + np.float32(0)
-        waves, usable = transform(stored)
+        waves, usable = transform(stored, channels, side)
         ids = frame["id"].to_numpy()[usable]
         content = [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in stored[usable]]
         for mirror in mirrors:
@@ -155,14 +177,23 @@ def _classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("content", "mirror").agg(F.min_by(F.struct("id", "low", "digests", "lengths"), "id").alias("_r")).select("mirror", "_r.*")
 
 
-def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(t, v, mirror, overlap): share of the record in common chunks, for classes that share at least one chunk."""
+def sharing(left: DataFrame, right: DataFrame, least: float = LEAST_OVERLAP, popular: int = POPULAR) -> DataFrame:
+    """(t, v, mirror) of the classes that have at least ``least`` of the record in common, by digests that at most ``popular`` training pictures have; no digest is a hot key."""
     cut = lambda df, name: df.select(F.col("id").alias(name), "mirror", F.explode(F.arrays_zip("digests", "lengths")).alias("_c")).select(name, "mirror", F.col("_c.digests").alias("digest"), F.col("_c.lengths").alias("length"))
-    shared = cut(left, "t").drop("mirror", "length").join(cut(right, "v"), "digest")
-    return shared.groupBy("t", "v", "mirror").agg((F.sum("length") / (SIGNS * ORDERS)).alias("overlap"))
+    ours, theirs = cut(left, "t").drop("mirror", "length"), cut(right, "v")
+    often = materialize(ours.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > popular).select("digest"), "popular-digests")
+    rare = lambda df: checked_join(df, often, "digest", "left_anti")
+    shared = rare(ours).join(rare(theirs), "digest")
+    return shared.groupBy("t", "v", "mirror").agg(F.sum("length").alias("_l")).where(F.col("_l") >= least * SIGNS * ORDERS).drop("_l")
+
 
+def overlap_of(ours: str, theirs: str) -> Column:
+    """The share of the record in common chunks, of two (digests, lengths) structs."""
+    both = F.filter(F.arrays_zip(F.col(f"{ours}.digests").alias("d"), F.col(f"{ours}.lengths").alias("l")), lambda c: F.array_contains(F.col(f"{theirs}.digests"), c["d"]))
+    return F.aggregate(both, F.lit(0).cast("long"), lambda total, c: total + c["l"]) / (SIGNS * ORDERS)
 
-def _length_left(low):
+
+def _length_left(low: Column) -> Column:
     squares = F.aggregate(low, F.lit(0.0), lambda total, x: total + x * x)
     return F.sqrt(F.greatest(F.lit(0.0), 1 - squares))
 
@@ -173,89 +204,129 @@ def _bounded(low: np.ndarray, first: int) -> np.ndarray:
     return np.concatenate([part, np.sqrt(np.maximum(0, 1 - (part.astype(np.float64) ** 2).sum(1, keepdims=True)))], axis=1).astype(np.float32)
 
 
-def likely_in_block(t: np.ndarray, v: np.ndarray, alike: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(rows of t, rows of v, mirror) of the pairs of low-frequency rows whose bound reaches ``alike``."""
-    some_t, all_t = _bounded(t, FIRST), _bounded(t, SIGNS)
-    for mirror in range(len(MIRRORS)):
-        turned = v * parity(mirror).astype(np.float32)
-        some_v, all_v = _bounded(turned, FIRST), _bounded(turned, SIGNS)
-        for begin in range(0, len(v), PART):
-            for at in range(0, len(t), PART):
-                i, j = np.nonzero(some_t[at : at + PART] @ some_v[begin : begin + PART].T >= alike - SLACK)
-                i, j = i + at, j + begin
-                kept = np.einsum("ij,ij->i", all_t[i], all_v[j]) >= alike - SLACK
-                if kept.any():
-                    yield i[kept], j[kept], mirror
+def likely_in_block(t: np.ndarray, v: np.ndarray, alike: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of t, rows of v) of the pairs of low-frequency rows whose bound reaches ``alike``."""
+    some_t, all_t, some_v, all_v = _bounded(t, FIRST), _bounded(t, SIGNS), _bounded(v, FIRST), _bounded(v, SIGNS)
+    for begin in range(0, len(v), PART):
+        for at in range(0, len(t), PART):
+            i, j = np.nonzero(some_t[at : at + PART] @ some_v[begin : begin + PART].T >= alike - SLACK)
+            i, j = i + at, j + begin
+            kept = np.einsum("ij,ij->i", all_t[i], all_v[j]) >= alike - SLACK
+            if kept.any():
+                yield i[kept], j[kept]
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float32)
 
 
 def compared(left: DataFrame, right: DataFrame, alike: float) -> DataFrame:
-    """(t, v, mirror) of all classes whose low frequencies allow a correlation of ``alike``: every block of ``left`` with every block of ``right``."""
-    n_t, n_v = left.count(), right.where("mirror = 0").count()
-    blocks_t, blocks_v = max(1, -(-n_t // BLOCK_T)), max(1, -(-n_v // BLOCK_V))
-    block = lambda n: F.pmod(F.xxhash64("id", F.lit(21)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    ours = left.select("id", "low", block(blocks_t).alias("bt"), every(blocks_v).alias("bv"))
-    theirs = right.where("mirror = 0").select("id", "low", block(blocks_v).alias("bv"), every(blocks_t).alias("bt"))
-    parts = max(min(2 * blocks_t * blocks_v, 20_000), left.sparkSession.sparkContext.defaultParallelism)
-    ours, theirs = ours.repartition(parts, "bt", "bv"), theirs.repartition(parts, "bt", "bv")  # a given number: small blocks hold much work, and are not to be merged into one task
+    """(t, v, mirror) of all classes whose low frequencies allow a correlation of ``alike``. An evaluation picture meets only the boxes of training pictures its ball of that radius reaches; unit vectors that correlate by a are sqrt(2 - 2a) apart."""
+    spark = left.sparkSession
+    n_t = left.count()
+    leaves = max(1, -(-n_t // BOX_ROWS))
+    wanted = min(SAMPLE, 2 * leaves * LEAF_SAMPLE)
+    chosen = F.shiftrightunsigned(F.xxhash64("id", F.lit(22)), 33) < int(2**31 * min(1.0, wanted / max(n_t, 1)))
+    sample = [r["low"] for r in left.where(chosen).select("low").collect()] if leaves > 1 else []
+    tree = Tree.fit(_bounded(np.array(sample, dtype=np.float32).reshape(-1, SIGNS), SIGNS), leaves, LEAF_SAMPLE)
+    leaves = 2**tree.depth
+    shared = spark.sparkContext.broadcast(tree.parts())  # at most 2 * SAMPLE / LEAF_SAMPLE nodes of two numbers
+
+    @F.pandas_udf("int")
+    def leaf_of(low: pd.Series) -> pd.Series:
+        known = Tree(*shared.value)
+        return pd.Series(known.leaf(known.turn(_bounded(_stack(low), SIGNS))) if len(low) else [], dtype="int32")
+
+    ours = materialize(left.select("id", "low", leaf_of("low").alias("leaf")), "boxed")
+
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, held = Tree(*shared.value), {}
+        for frame in batches:
+            turned = known.turn(_bounded(_stack(frame["low"]), SIGNS)) if len(frame) else np.zeros((0, SIGNS + 1))
+            for leaf, at in frame.groupby("leaf").indices.items():
+                now = box(turned[at])
+                old = held.get(leaf, now)
+                held[leaf] = np.stack([np.minimum(now[0], old[0]), np.maximum(now[1], old[1])])
+        yield pd.DataFrame({"leaf": list(held), "box": [b.tobytes() for b in held.values()]})
+
+    boxes = np.full((leaves, 2, SIGNS + 1), np.inf, dtype=np.float32)
+    boxes[:, 1] = -np.inf
+    # a box per leaf and input partition at most, of two numbers per axis, one at a time
+    for r in ours.mapInPandas(bounds, "leaf int, box binary").toLocalIterator():
+        held = np.frombuffer(r["box"], dtype=np.float32).reshape(2, SIGNS + 1)
+        boxes[r["leaf"]] = np.minimum(boxes[r["leaf"], 0], held[0]), np.maximum(boxes[r["leaf"], 1], held[1])
+    held_boxes = spark.sparkContext.broadcast(boxes)  # at most 2 * SAMPLE / LEAF_SAMPLE of them
+    radius = float(np.sqrt(2 - 2 * (alike - SLACK)))
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Tree(*shared.value)
+        for whole in batches:
+            for begin in range(0, len(whole), PART):
+                frame = whole.iloc[begin : begin + PART]
+                turned, reach = known.turn(_bounded(_stack(frame["low"]), SIGNS)), np.full(len(frame), radius)
+                at, leaf = known.within(turned, reach)
+                kept = reaches(turned, at, held_boxes.value[leaf], reach)
+                at, leaf = at[kept], leaf[kept]
+                yield pd.DataFrame({"id": frame["id"].to_numpy()[at], "mirror": frame["mirror"].to_numpy()[at], "low": frame["low"].to_numpy()[at], "leaf": leaf.astype("int32")})
+
+    theirs = materialize(right.select("id", "mirror", "low").mapInPandas(route, "id long, mirror int, low array<float>, leaf int"), "routed")
+    busy = theirs.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("tasks"))
+    theirs = theirs.join(busy, "leaf").withColumn("task", F.pmod(F.xxhash64("id", "mirror", F.lit(23)), F.col("tasks")).cast("int")).drop("tasks")
+    copies = ours.join(busy, "leaf").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    parts = max(2 * leaves, spark.sparkContext.defaultParallelism)
+    copies, theirs = copies.repartition(parts, "leaf", "task"), theirs.repartition(parts, "leaf", "task")  # a given number: small boxes hold much work, and are not to be merged into one task
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(a) and len(b):
-            found = list(likely_in_block(np.stack(a["low"].to_numpy()), np.stack(b["low"].to_numpy()), alike))
-        ids_t, ids_v = a["id"].to_numpy(), b["id"].to_numpy()
-        columns = {"t": [ids_t[i] for i, _, _ in found], "v": [ids_v[j] for _, j, _ in found], "mirror": [np.full(len(i), m, dtype=np.int32) for i, _, m in found]}
-        return pd.DataFrame({name: np.concatenate(c) if c else [] for name, c in columns.items()})
+        found = list(likely_in_block(_stack(a["low"]), _stack(b["low"]), alike)) if len(a) and len(b) else []
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        return pd.DataFrame({"t": a["id"].to_numpy()[i], "v": b["id"].to_numpy()[j], "mirror": b["mirror"].to_numpy()[j]})
 
-    return ours.groupBy("bt", "bv").cogroup(theirs.groupBy("bt", "bv")).applyInPandas(run, "t long, v long, mirror int")
+    return copies.groupBy("leaf", "task").cogroup(theirs.groupBy("leaf", "task")).applyInPandas(run, "t long, v long, mirror int")
 
 
-def cross_split(train: DataFrame, evaluation: DataFrame, key: str = "sample_id", picture: str = "images", alike: float = ALIKE) -> DataFrame:
+def cross_split(train: DataFrame, evaluation: DataFrame, key: str = "sample_id", picture: str = "images", alike: float = ALIKE, channels: int = CHANNELS, side: int = SIDE) -> DataFrame:
     """(train_sample_id, validation_sample_id, overlap, correlation): every pair of a training and an evaluation picture whose values correlate by at least ``alike`` in some mirroring."""
-    ours, theirs = materialize(records(train, key, picture, (0,)), "train-records"), materialize(records(evaluation, key, picture, (0, 1, 2, 3)), "evaluation-records")
-    left, right = _classes(ours), materialize(_classes(theirs), "evaluation-classes")
-    left = materialize(left, "train-classes")
+    ours, theirs = materialize(records(train, key, picture, (0,), channels, side), "train-records"), materialize(records(evaluation, key, picture, (0, 1, 2, 3), channels, side), "evaluation-records")
+    left, right = materialize(_classes(ours), "train-classes"), materialize(_classes(theirs), "evaluation-classes")
     low_t, low_v = left.select(F.col("id").alias("t"), F.col("low").alias("low_t")), right.select(F.col("id").alias("v"), "mirror", F.col("low").alias("low_v"))
     inner = F.aggregate(F.zip_with("low_t", "low_v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda total, x: total + x)
     most = inner + _length_left(F.col("low_t")) * _length_left(F.col("low_v"))
-    likely = (
-        overlaps(left, right)
-        .where(F.col("overlap") >= LEAST_OVERLAP)
-        .join(low_t, "t")
-        .join(low_v, ["v", "mirror"])
-        .where(most >= alike - SLACK)
-        .select("t", "v", "mirror", "overlap")
-    )
-    others = compared(left, right, alike).withColumn("overlap", F.lit(0.0))
-    likely = likely.unionByName(others).groupBy("t", "v", "mirror").agg(F.max("overlap").alias("overlap"))
-    likely = materialize(likely, "likely-pairs")
+    by_chunks = sharing(left, right).join(low_t, "t").join(low_v, ["v", "mirror"]).where(most >= alike - SLACK).select("t", "v", "mirror")
+    likely = materialize(by_chunks.unionByName(compared(left, right, alike)).distinct(), "likely-pairs")
+    size, at_once = channels * side * side, max(1, PART_VALUES // (channels * side * side))
 
     def stored(table: DataFrame, name: str) -> DataFrame:
         wanted = likely.select(F.col(name).alias(key)).distinct()
-        sized = table.where(F.size(picture) == CHANNELS * SIDE * SIDE).select(key, F.col(picture).alias(f"{name}_picture"))
+        sized = table.where(F.size(picture) == size).select(key, F.col(picture).alias(f"{name}_picture"))
         return checked_join(sized, wanted, key).dropDuplicates([key]).withColumnRenamed(key, name)
 
     @F.pandas_udf("double")
     def correlation(a: pd.Series, b: pd.Series, mirror: pd.Series) -> pd.Series:
-        parts = [pearson(*(c.iloc[begin : begin + PART] for c in (a, b, mirror))) for begin in range(0, len(a), PART)]
+        parts = [pearson(*(c.iloc[begin : begin + at_once] for c in (a, b, mirror))) for begin in range(0, len(a), at_once)]
         return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
     def pearson(a: pd.Series, b: pd.Series, mirror: pd.Series) -> np.ndarray:
         x = np.stack(a.to_numpy()).astype(np.float64)
-        y = np.stack(b.to_numpy()).astype(np.float64).reshape(-1, CHANNELS, SIDE, SIDE)
+        y = np.stack(b.to_numpy()).astype(np.float64).reshape(-1, channels, side, side)
         which = mirror.to_numpy()[:, None, None, None]
         y = np.where(which & 1, y[..., ::-1], y)
         y = np.where(which >> 1, y[:, :, ::-1], y).reshape(len(x), -1)
         x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
         return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
 
-    checked = (
+    near = (
         likely.join(stored(train, "t"), "t")
         .join(stored(evaluation, "v"), "v")
         .withColumn("correlation", correlation.asNondeterministic()("t_picture", "v_picture", "mirror"))  # so that the filter does not run it twice
         .where(F.col("correlation") >= alike)
+        .select("t", "v", "mirror", "correlation")
+    )
+    chunked = lambda df, name: df.select(F.col("id").alias(name), "mirror", F.struct("digests", "lengths").alias(f"{name}_chunks"))
+    checked = (
+        near.join(chunked(left, "t").drop("mirror"), "t")
+        .join(chunked(right, "v"), ["v", "mirror"])
         .groupBy("t", "v")
-        .agg(F.max("overlap").alias("overlap"), F.max("correlation").alias("correlation"))
+        .agg(F.max(overlap_of("t_chunks", "v_chunks")).alias("overlap"), F.max("correlation").alias("correlation"))
     )
     checked = materialize(checked, "checked-pairs")
     # classes back to their members
@@ -273,7 +344,7 @@ def cross_split(train: DataFrame, evaluation: DataFrame, key: str = "sample_id",
 
 
 def report(pairs: DataFrame, evaluation: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Per eval_split and origin of the evaluation sample: samples, samples also in training, training counterparts, exact copies, mean overlap."""
+    """Per eval_split and origin of the evaluation sample: samples, samples also in training, those equal but for brightness and contrast, training counterparts, mean of the samples' largest overlap."""
     per_sample = pairs.groupBy(F.col("validation_sample_id").alias(key)).agg(
         F.count(F.lit(1)).alias("counterparts"), F.max("overlap").alias("most"), F.max((F.col("correlation") > 1 - 1e-9).cast("int")).alias("same")
     )

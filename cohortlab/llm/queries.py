@@ -85,7 +85,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
-    return overlap.report(*_across(spark, folder))
+    return overlap.report(*_across(spark, folder)).drop("mean_overlap")
+
+
+def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair with the share of its records in common chunks and its correlation."""
+    return _across(spark, folder)[0]
 
 
 def _capacity(spark: SparkSession, folder: str, spec: str = "train_pack") -> int:
@@ -148,10 +153,22 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
     return graded.select("doc_id", "source", "is_english", "n_words", "n_sentences", "grade", "level_band")
 
 
+def p9_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out accuracy: each reference passage is graded with limits and a language profile of the passages of other ids (even or odd); whether nine in ten get their band and all are English, per band."""
+    refs = _read(spark, folder, "level_refs")
+    out = []
+    for side in (0, 1):
+        held, others = refs.where(F.col("ref_id") % 2 == side), refs.where(F.col("ref_id") % 2 != side)
+        graded = readability.with_level(held.select("ref_id", F.col("level_band").alias("band"), "text"), others)
+        out.append(graded.select("band", (F.col("level_band") == F.col("band")).cast("int").alias("right"), F.col("is_english").cast("int").alias("english")))
+    both = reduce(DataFrame.unionByName, out).groupBy(F.col("band").alias("level_band"))
+    return both.agg(F.count(F.lit(1)).alias("passages"), (F.avg("right") >= 0.9).alias("bands_right"), (F.avg("english") == 1).alias("all_english"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
-        p1_found, p1_sample, p1_report, p1_check, p3_found, p3_neighbours, p3_exact, p3_recall, p6_found, p6_report, p7_found, p7_containers, p7_check,
-        p8_found, p8_mixture, p8_report, p8_check, p9_found, p9_levels,
+        p1_found, p1_sample, p1_report, p1_check, p3_found, p3_neighbours, p3_exact, p3_recall, p6_found, p6_report, p6_pairs, p7_found, p7_containers, p7_check,
+        p8_found, p8_mixture, p8_report, p8_check, p9_found, p9_levels, p9_references,
     )}
 
 
@@ -164,6 +181,19 @@ _EXACT = """
 """
 
 
+_TURNS = {"as stored": "v[j]", "left-right": "v[j - 2 * ((j - 1) % 16) + 15]", "top-bottom": "v[j + 16 * (15 - 2 * (((j - 1) % 256) // 16))]", "both": "v[j - 2 * ((j - 1) % 16) + 15 + 16 * (15 - 2 * (((j - 1) % 256) // 16))]"}
+_NEAR = """
+    with t as (select distinct sample_id as t, images::double[] as v from train_augmented2_data where len(images) = 768 and len(list_distinct(images)) > 1),
+    e as (select distinct sample_id as e, images::double[] as v from validation_data where len(images) = 768 and len(list_distinct(images)) > 1),
+    plain as (select t, list_transform(v, lambda x: x - list_avg(v)) as v, v as raw from t),
+    unit as (select t, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from plain where list_max(list_transform([0, 256, 512], lambda k: list_max(raw[k + 1:k + 256]) - list_min(raw[k + 1:k + 256]))) > 0),
+    plain_e as (select e, list_transform(v, lambda x: x - list_avg(v)) as v, v as raw from e),
+    unit_e as (select e, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from plain_e where list_max(list_transform([0, 256, 512], lambda k: list_max(raw[k + 1:k + 256]) - list_min(raw[k + 1:k + 256]))) > 0),
+    turned as (""" + " union all ".join(f"select e, list_transform(range(1, 769), lambda j: {source}) as v from unit_e" for source in _TURNS.values()) + """),
+    near as (select t, e, max(list_dot_product(unit.v, turned.v)) as correlation from unit join turned on list_dot_product(unit.v, turned.v) >= 0.97 group by t, e)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": """
@@ -198,6 +228,12 @@ def oracle_sql() -> dict[str, str]:
         """,
         "p3_exact": _EXACT + "select a as vec_id, rank::int as rank, b as neighbour_id from ranked where rank <= 5",
         "p3_recall": _EXACT + "select count(distinct a) as queries, count(*) as neighbours, true as recall_reached from ranked where rank <= 5",
+        "p6_found": _NEAR + "select t as train_sample_id, e as validation_sample_id from near",
+        "p6_report": _NEAR + """,
+            per as (select e, count(*) as n, max((correlation > 1 - 1e-9)::int) as same from near group by e)
+            select eval_split, origin, count(*) as samples, count(n) as overlapping, coalesce(sum(same), 0)::bigint as exact, coalesce(sum(n), 0)::bigint as counterparts
+            from validation_data left join per on e = sample_id group by eval_split, origin""",
+        "p9_references": "select level_band, count(*) as passages, true as bands_right, true as all_english from level_refs group by 1",
         "p7_check": "select count(*) filter (length(text) > 0) as documents_packed, 0::bigint as overfull, 0::bigint as not_whole, 0::bigint as needlessly_cut, true as near_least from documents",
         "p8_check": "select t.source, count(d.doc_id) as documents, true as as_close_as_can_be, 0::bigint as over_repeats, 0::bigint as \"foreign\" from source_targets t left join documents d using (source) group by t.source",
     }
