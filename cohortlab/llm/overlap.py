@@ -32,12 +32,14 @@ overlap their records have, which may be 0.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from cohortlab.llm.shards import Tree, box, reaches
 from cohortlab.operators.joins import checked_join
@@ -47,14 +49,14 @@ from cohortlab.session import materialize
 CHANNELS, SIDE, ALIKE = 3, 16, 0.97
 #: Symbols per order, number of orders, shortest and longest chunk, rolling window, and one cut in so many positions.
 SIGNS, ORDERS, SHORTEST, LONGEST, WINDOW, CUT = 48, 16, 16, 28, 8, 6
-#: The least share of the record that candidates have in common, about two chunks; and how many training pictures may share a digest that is used to find them.
-LEAST_OVERLAP, POPULAR = 0.05, 1000
+#: The least share of the record that candidates have in common, about two chunks; how many training pictures may share a digest that is used to find them, and among which part of the pictures that is counted.
+LEAST_OVERLAP, POPULAR, POPULAR_PART = 2 * SHORTEST / (SIGNS * ORDERS), 1000, 64
 #: Values worked on at once within an Arrow batch, which bounds a worker's memory.
 PART_VALUES = 1024 * 768
 #: Training pictures in a box, the largest sample the boxes are fitted on, sampled pictures per box, and evaluation pictures compared in one task.
-BOX_ROWS, SAMPLE, LEAF_SAMPLE, TASK_ROWS = 4096, 500_000, 12, 16_384
-#: Low frequencies compared first, the others for the pairs left; what rounding may take from a bound; rows of a matrix product.
-FIRST, SLACK, PART = 16, 1e-4, 1024
+BOX_ROWS, SAMPLE, LEAF_SAMPLE, TASK_ROWS = 16_384, 500_000, 12, 16_384
+#: Low frequencies compared first, the others for the pairs left; what rounding (to half precision on the way) may take from a bound; rows of a matrix product.
+FIRST, SLACK, PART = 16, 2e-3, 1024
 MIRRORS = ("as stored", "left-right", "top-bottom", "both")
 
 
@@ -179,9 +181,11 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 def sharing(left: DataFrame, right: DataFrame, least: float = LEAST_OVERLAP, popular: int = POPULAR) -> DataFrame:
     """(t, v, mirror) of the classes that have at least ``least`` of the record in common, by digests that at most ``popular`` training pictures have; no digest is a hot key."""
-    cut = lambda df, name: df.select(F.col("id").alias(name), "mirror", F.explode(F.arrays_zip("digests", "lengths")).alias("_c")).select(name, "mirror", F.col("_c.digests").alias("digest"), F.col("_c.lengths").alias("length"))
-    ours, theirs = cut(left, "t").drop("mirror", "length"), cut(right, "v")
-    often = materialize(ours.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > popular).select("digest"), "popular-digests")
+    ours = left.select(F.col("id").alias("t"), F.explode("digests").alias("digest"))
+    theirs = right.select(F.col("id").alias("v"), "mirror", F.explode(F.arrays_zip("digests", "lengths")).alias("_c")).select("v", "mirror", F.col("_c.digests").alias("digest"), F.col("_c.lengths").alias("length"))
+    # popularity is counted among one in POPULAR_PART pictures: a digest on either side of the limit costs time or is left to the exact way
+    some = ours.where(F.pmod(F.xxhash64("t", F.lit(24)), F.lit(POPULAR_PART)) == 0).groupBy("digest").agg(F.count(F.lit(1)).alias("_n"))
+    often = materialize(some.where(F.col("_n") * POPULAR_PART > popular).select("digest"), "popular-digests")
     rare = lambda df: checked_join(df, often, "digest", "left_anti")
     shared = rare(ours).join(rare(theirs), "digest")
     return shared.groupBy("t", "v", "mirror").agg(F.sum("length").alias("_l")).where(F.col("_l") >= least * SIGNS * ORDERS).drop("_l")
@@ -205,7 +209,7 @@ def _bounded(low: np.ndarray, first: int) -> np.ndarray:
 
 
 def likely_in_block(t: np.ndarray, v: np.ndarray, alike: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows of t, rows of v) of the pairs of low-frequency rows whose bound reaches ``alike``."""
+    """(rows of t, rows of v) of the pairs of low-frequency rows whose bound reaches ``alike``, but for rounding."""
     some_t, all_t, some_v, all_v = _bounded(t, FIRST), _bounded(t, SIGNS), _bounded(v, FIRST), _bounded(v, SIGNS)
     for begin in range(0, len(v), PART):
         for at in range(0, len(t), PART):
@@ -220,6 +224,16 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float32)
 
 
+@F.pandas_udf(BinaryType())
+def half(low: pd.Series) -> pd.Series:
+    """Low frequencies in half precision, which halves what is shuffled."""
+    return pd.Series([row.astype(np.float16).tobytes() for row in low])
+
+
+def _halves(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.float16).reshape(len(column), SIGNS).astype(np.float32)
+
+
 def compared(left: DataFrame, right: DataFrame, alike: float) -> DataFrame:
     """(t, v, mirror) of all classes whose low frequencies allow a correlation of ``alike``. An evaluation picture meets only the boxes of training pictures its ball of that radius reaches; unit vectors that correlate by a are sqrt(2 - 2a) apart."""
     spark = left.sparkSession
@@ -237,12 +251,12 @@ def compared(left: DataFrame, right: DataFrame, alike: float) -> DataFrame:
         known = Tree(*shared.value)
         return pd.Series(known.leaf(known.turn(_bounded(_stack(low), SIGNS))) if len(low) else [], dtype="int32")
 
-    ours = materialize(left.select("id", "low", leaf_of("low").alias("leaf")), "boxed")
+    ours = materialize(left.select("id", half("low").alias("low"), leaf_of("low").alias("leaf")), "boxed")
 
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, held = Tree(*shared.value), {}
         for frame in batches:
-            turned = known.turn(_bounded(_stack(frame["low"]), SIGNS)) if len(frame) else np.zeros((0, SIGNS + 1))
+            turned = known.turn(_bounded(_halves(frame["low"]), SIGNS)) if len(frame) else np.zeros((0, SIGNS + 1))
             for leaf, at in frame.groupby("leaf").indices.items():
                 now = box(turned[at])
                 old = held.get(leaf, now)
@@ -263,23 +277,34 @@ def compared(left: DataFrame, right: DataFrame, alike: float) -> DataFrame:
         for whole in batches:
             for begin in range(0, len(whole), PART):
                 frame = whole.iloc[begin : begin + PART]
-                turned, reach = known.turn(_bounded(_stack(frame["low"]), SIGNS)), np.full(len(frame), radius)
-                at, leaf = known.within(turned, reach)
-                kept = reaches(turned, at, held_boxes.value[leaf], reach)
-                at, leaf = at[kept], leaf[kept]
-                yield pd.DataFrame({"id": frame["id"].to_numpy()[at], "mirror": frame["mirror"].to_numpy()[at], "low": frame["low"].to_numpy()[at], "leaf": leaf.astype("int32")})
-
-    theirs = materialize(right.select("id", "mirror", "low").mapInPandas(route, "id long, mirror int, low array<float>, leaf int"), "routed")
+                low, reach = _halves(frame["low"]), np.full(len(frame), radius)
+                masks: dict[tuple[int, int], int] = defaultdict(int)
+                for mirror in range(len(MIRRORS)):
+                    turned = known.turn(_bounded(low * parity(mirror).astype(np.float32), SIGNS))
+                    at, leaf = known.within(turned, reach)
+                    kept = reaches(turned, at, held_boxes.value[leaf], reach)
+                    for place in zip(at[kept].tolist(), leaf[kept].tolist()):
+                        masks[place] |= 1 << mirror
+                at, leaf = (np.array([place[k] for place in masks], dtype=np.int64) for k in (0, 1))
+                yield pd.DataFrame({"id": frame["id"].to_numpy()[at], "low": frame["low"].to_numpy()[at], "leaf": leaf.astype("int32"), "mirrors": np.array(list(masks.values()), dtype="int32")})
+
+    # a picture goes to a box once, with the mirrorings that reach it
+    plain = right.where("mirror = 0").select("id", half("low").alias("low"))
+    theirs = materialize(plain.mapInPandas(route, "id long, low binary, leaf int, mirrors int"), "routed")
     busy = theirs.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("tasks"))
-    theirs = theirs.join(busy, "leaf").withColumn("task", F.pmod(F.xxhash64("id", "mirror", F.lit(23)), F.col("tasks")).cast("int")).drop("tasks")
+    theirs = theirs.join(busy, "leaf").withColumn("task", F.pmod(F.xxhash64("id", F.lit(23)), F.col("tasks")).cast("int")).drop("tasks")
     copies = ours.join(busy, "leaf").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     parts = max(2 * leaves, spark.sparkContext.defaultParallelism)
     copies, theirs = copies.repartition(parts, "leaf", "task"), theirs.repartition(parts, "leaf", "task")  # a given number: small boxes hold much work, and are not to be merged into one task
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = list(likely_in_block(_stack(a["low"]), _stack(b["low"]), alike)) if len(a) and len(b) else []
-        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
-        return pd.DataFrame({"t": a["id"].to_numpy()[i], "v": b["id"].to_numpy()[j], "mirror": b["mirror"].to_numpy()[j]})
+        parts = [pd.DataFrame({"t": np.zeros(0, dtype=np.int64), "v": np.zeros(0, dtype=np.int64), "mirror": np.zeros(0, dtype=np.int32)})]
+        t = _halves(a["low"]) if len(a) else np.zeros((0, SIGNS), dtype=np.float32)
+        for mirror in range(len(MIRRORS) if len(a) else 0):
+            some = b[(b["mirrors"].to_numpy() >> mirror) & 1 == 1]
+            for i, j in likely_in_block(t, _halves(some["low"]) * parity(mirror).astype(np.float32), alike) if len(some) else ():
+                parts.append(pd.DataFrame({"t": a["id"].to_numpy()[i], "v": some["id"].to_numpy()[j], "mirror": np.int32(mirror)}))
+        return pd.concat(parts, ignore_index=True)
 
     return copies.groupBy("leaf", "task").cogroup(theirs.groupBy("leaf", "task")).applyInPandas(run, "t long, v long, mirror int")
 
@@ -289,9 +314,10 @@ def cross_split(train: DataFrame, evaluation: DataFrame, key: str = "sample_id",
     ours, theirs = materialize(records(train, key, picture, (0,), channels, side), "train-records"), materialize(records(evaluation, key, picture, (0, 1, 2, 3), channels, side), "evaluation-records")
     left, right = materialize(_classes(ours), "train-classes"), materialize(_classes(theirs), "evaluation-classes")
     low_t, low_v = left.select(F.col("id").alias("t"), F.col("low").alias("low_t")), right.select(F.col("id").alias("v"), "mirror", F.col("low").alias("low_v"))
+    sharing_ = materialize(sharing(left, right), "sharing-pairs")
     inner = F.aggregate(F.zip_with("low_t", "low_v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda total, x: total + x)
     most = inner + _length_left(F.col("low_t")) * _length_left(F.col("low_v"))
-    by_chunks = sharing(left, right).join(low_t, "t").join(low_v, ["v", "mirror"]).where(most >= alike - SLACK).select("t", "v", "mirror")
+    by_chunks = checked_join(low_v, checked_join(low_t, sharing_, "t"), ["v", "mirror"]).where(most >= alike - SLACK).select("t", "v", "mirror")
     likely = materialize(by_chunks.unionByName(compared(left, right, alike)).distinct(), "likely-pairs")
     size, at_once = channels * side * side, max(1, PART_VALUES // (channels * side * side))
 
@@ -314,17 +340,18 @@ def cross_split(train: DataFrame, evaluation: DataFrame, key: str = "sample_id",
         x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
         return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
 
-    near = (
+    near = materialize(
         likely.join(stored(train, "t"), "t")
         .join(stored(evaluation, "v"), "v")
         .withColumn("correlation", correlation.asNondeterministic()("t_picture", "v_picture", "mirror"))  # so that the filter does not run it twice
         .where(F.col("correlation") >= alike)
-        .select("t", "v", "mirror", "correlation")
+        .select("t", "v", "mirror", "correlation"),
+        "near-pairs",
     )
     chunked = lambda df, name: df.select(F.col("id").alias(name), "mirror", F.struct("digests", "lengths").alias(f"{name}_chunks"))
+    with_ours = checked_join(chunked(left, "t").drop("mirror"), near, "t")
     checked = (
-        near.join(chunked(left, "t").drop("mirror"), "t")
-        .join(chunked(right, "v"), ["v", "mirror"])
+        checked_join(chunked(right, "v"), with_ours, ["v", "mirror"])
         .groupBy("t", "v")
         .agg(F.max(overlap_of("t_chunks", "v_chunks")).alias("overlap"), F.max("correlation").alias("correlation"))
     )

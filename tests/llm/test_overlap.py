@@ -113,6 +113,7 @@ def test_popular_digests_lose_nothing(spark, monkeypatch):
     whole = {tuple(r)[:3] for r in overlap.cross_split(t, e).collect()}
     monkeypatch.setattr(overlap, "BOX_ROWS", 10)
     monkeypatch.setattr(overlap, "LEAF_SAMPLE", 2)
+    monkeypatch.setattr(overlap, "POPULAR_PART", 1)
     monkeypatch.setattr(overlap, "sharing", lambda left, right: sharing(left, right, popular=3))
     assert {tuple(r)[:3] for r in overlap.cross_split(t, e).collect()} == whole and len(whole) == 60
 
