@@ -51,6 +51,12 @@ def missing_report(df: DataFrame, only_missing: bool = True) -> DataFrame:
     return (out.where("missing_count > 0") if only_missing else out).orderBy(F.desc("missing_count"), "column_name")
 
 
+def schema_report(df: DataFrame) -> DataFrame:
+    """(ordinal, column_name, kind, non_null) of every column; NaN counts as missing. One scan."""
+    counts = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("kind"), F.count_if(~_missing(f)).alias("non_null")) for i, f in enumerate(df.schema.fields)])
+    return df.agg(counts.alias("_c")).select(F.explode("_c").alias("_e")).select("_e.*")
+
+
 def iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
     """(column_name, q1, q3, low, high): the fences q1 - factor·IQR and q3 + factor·IQR."""
     spread = F.col("q3") - F.col("q1")

@@ -8,8 +8,6 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.operators.balance import POS_WEIGHT_FACTORS
-
 #: Settings of the tree models (fixed values): 300 trees; boosting depth 6, step 0.05, 0.8 of the rows, 0.7 of the columns; forest class weights 1 to 4, seed 42. A forest here is at most 30 deep.
 TREES, BOOST_DEPTH, BOOST_STEP, BOOST_ROWS, BOOST_COLUMNS, FOREST_WEIGHT, FOREST_DEPTH, SEED = 300, 6, 0.05, 0.8, "0.7", 4.0, 30, 42
 
@@ -48,19 +46,6 @@ def fit_scores(train: DataFrame, test: DataFrame, classifier, key: str, features
     return scored.select(key, F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
 
 
-def fit_late_fusion(train: DataFrame, test: DataFrame, key: str, image: str, clinical: str, label: str) -> DataFrame:
-    """(key, y, p_image, p_clinical, p_fusion): a weighted head per modality and one on the joined features."""
-    factor = POS_WEIGHT_FACTORS["late_fusion"]
-    balance = train.agg(F.try_divide(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1))).first()[0] or 1.0
-    joined = {"image": F.col(image), "clinical": F.col(clinical), "fusion": F.concat(F.col(image), F.col(clinical))}
-    out = None
-    for name, features in joined.items():
-        parts = [t.withColumn("_x", features) for t in (train, test)]
-        scores = fit_scores(*parts, logistic_head(), key, "_x", label, factor * balance).withColumnRenamed("p", f"p_{name}")
-        out = scores if out is None else out.join(scores.drop("y"), key)
-    return out
-
-
 def save(model, path: str) -> None:
     model.write().overwrite().save(path)
 

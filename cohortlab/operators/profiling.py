@@ -83,7 +83,7 @@ def states(df: DataFrame, key: str, columns: Sequence[str], suite: Suite, row_ke
         number = value.cast("double") if whole or floating else F.lit(None).cast("double")
         exact = value.cast("bigint") if whole else F.lit(None).cast("bigint")
         text = F.lit(None).cast("string") if whole or floating else value.cast("string")
-        hashed = value if kinds[name] in ("bigint", "int", "string") else value.cast("string")
+        hashed = F.when(value.isNotNull(), F.xxhash64(value))  # of texts themselves the sketch would leave out the empty one
         aggregates.append(
             F.struct(
                 F.lit(name).alias("column_name"),

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 #: Widths of the networks (fixed values): clinical branch and fusion layer of the late fusion; clinical encoder, image projection and backbone of the shared model.
 LATE_FUSION = {"clinical": (256, 128), "fusion": 512, "image": 2048}
 SHARED = {"clinical": (1024, 512, 512), "image": (2048, 512), "backbone": (256, 128)}
+#: The heads of the single models: features, hidden layer, logit (fixed values).
+HEADS = {"resnet": (2048, 512, 1), "vit": (768, 512, 1)}
+#: The hybrid: picture tokens, their width, the model's, heads, feed-forward width, layers (fixed values).
+HYBRID = {"tokens": 49, "features": 2048, "model": 512, "heads": 8, "forward": 1024, "layers": 2}
 
 Layer = tuple[np.ndarray, np.ndarray]
 
@@ -125,6 +129,58 @@ def mean_pool(tokens: Column, width: int, skip_first: bool = False) -> Column:
     return _beside(total, F.size(used).cast("double"), lambda x, n: x / n)
 
 
+def gelu(x: np.ndarray) -> np.ndarray:
+    """x · Φ(x), with the error function by its five-term approximation (error below 2e-7)."""
+    z = np.abs(x) / np.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    erf = 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-z * z)
+    return 0.5 * x * (1 + np.sign(x) * erf)
+
+
+def _normed(x: np.ndarray, epsilon: float = 1e-5) -> np.ndarray:
+    centred = x - x.mean(-1, keepdims=True)
+    return centred / np.sqrt((centred * centred).mean(-1, keepdims=True) + epsilon)
+
+
+def self_attention(x: np.ndarray, query: Layer, key: Layer, value: Layer, out: Layer, heads: int) -> np.ndarray:
+    """Multi-head self-attention of [rows, tokens, width]."""
+    n, tokens, width = x.shape
+    q, k, v = ((x @ w.T + b).reshape(n, tokens, heads, width // heads).transpose(0, 2, 1, 3) for w, b in (query, key, value))
+    weights = q @ k.transpose(0, 1, 3, 2) / np.sqrt(width // heads)
+    weights = np.exp(weights - weights.max(-1, keepdims=True))
+    mixed = (weights / weights.sum(-1, keepdims=True)) @ v
+    return mixed.transpose(0, 2, 1, 3).reshape(n, tokens, width) @ out[0].T + out[1]
+
+
+def encoder_layer(x: np.ndarray, parts: dict[str, Layer], heads: int) -> np.ndarray:
+    """Attention and a GELU feed-forward, each with a residual and a norm after it; dropout is the identity when scoring."""
+    x = _normed(x + self_attention(x, parts["query"], parts["key"], parts["value"], parts["out"], heads))
+    hidden = gelu(x @ parts["up"][0].T + parts["up"][1])
+    return _normed(x + hidden @ parts["down"][0].T + parts["down"][1])
+
+
+def hybrid_parts(features: int, model: int, forward: int, layers: int, tokens: int) -> dict:
+    """Formula weights of the hybrid: projection, class token, positions, encoder layers, head."""
+    shapes = {"query": (model, model), "key": (model, model), "value": (model, model), "out": (model, model), "up": (forward, model), "down": (model, forward)}
+    return {
+        "project": formula_weights(model, features, 1),
+        "first": np.sin(np.arange(model) + 1.0) / 10,
+        "positions": np.sin(np.arange((tokens + 1) * model).reshape(tokens + 1, model) + 1.0) / 10,
+        "layers": [{name: formula_weights(*shape, 100 * layer + 10 * i) for i, (name, shape) in enumerate(shapes.items())} for layer in range(layers)],
+        "head": [formula_weights(model, model, 7), formula_weights(1, model, 8)],
+    }
+
+
+def hybrid_logits(x: np.ndarray, parts: dict, heads: int) -> np.ndarray:
+    """[rows] logits of [rows, tokens, features]: projected, class token and positions added, encoded, normed, the picture tokens' mean (without the class token), two layers."""
+    tokens = x @ parts["project"][0].T + parts["project"][1]
+    first = np.broadcast_to(parts["first"], (len(x), 1, len(parts["first"])))
+    tokens = np.concatenate([first, tokens], axis=1) + parts["positions"]
+    for layer in parts["layers"]:
+        tokens = encoder_layer(tokens, layer, heads)
+    return network(parts["head"], relu_last=False)(_normed(tokens)[:, 1:].mean(1))[:, 0]
+
+
 def attention(tokens: Column, query: np.ndarray, key: np.ndarray, value: np.ndarray, heads: int) -> Column:
     """Multi-head self-attention of array<array<double>> tokens with given projection matrices."""
 

@@ -26,6 +26,10 @@ def missing_report(spark, folder):
     return rounded(describe.missing_report(_records(spark, folder)))
 
 
+def schema_report(spark, folder):
+    return describe.schema_report(_records(spark, folder))
+
+
 def dtype_routing(spark, folder):
     return describe.dtype_routing(_records(spark, folder))
 
@@ -152,7 +156,7 @@ def label_text_parse(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        describe_numeric, missing_report, dtype_routing, iqr_bounds, boxplot_summary, iqr_cap, sample_head, sample_random, risk_binarize,
+        describe_numeric, missing_report, schema_report, dtype_routing, iqr_bounds, boxplot_summary, iqr_cap, sample_head, sample_random, risk_binarize,
         onehot_drop_first, split_stratified, standardize_train_fit, clinical_feature_vector, label_binary_map, label_validity_gate,
         label_collapse, label_dedupe_last, label_image_lookup, class_balance, pos_weight_variants, augment_expand, unpaired_cyclic_join,
         path_stem, path_depth_count, label_text_parse,
@@ -161,6 +165,7 @@ QUERIES = {
 
 # ---- SQL --------------------------------------------------------------------
 
+_COLUMNS = ("row_id", "record_id", "patient_id", "load_id", "site_id", "record_timestamp", "risklabel", *NUMERIC, "menopause_status", "family_history", "ultrasound_score", "figo_stage", "ingested_at")
 _ALL_NUMERIC = ("row_id", "load_id", "risklabel", *NUMERIC, *PASSTHROUGH)
 
 
@@ -200,6 +205,10 @@ def _levels(c: str) -> str:
 ORACLES = {
     "describe_numeric": f"with {_long(_ALL_NUMERIC)}, {_QUART}, b as (select column_name, count(v) as n, avg(v) as mean, stddev_samp(v) as std, min(v) as low, max(v) as high from cells group by 1) select column_name, n, round(mean, 6) as mean, round(std, 6) as std, round(low, 6) as low, round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3, round(high, 6) as high from b join quart using (column_name)",
     "missing_report": "with c as (" + " union all ".join(f"select '{c}' as column_name, count(*) filter ({c} is null{' or isnan(' + c + ')' if c in NUMERIC else ''}) as missing_count, count(*) as n from ovarian_patient_data" for c in ("row_id", "record_id", "patient_id", "load_id", "site_id", "record_timestamp", "risklabel", *NUMERIC, "menopause_status", "family_history", "ultrasound_score", "figo_stage", "ingested_at")) + ") select column_name, missing_count, round(100 * missing_count / n, 6) as missing_pct from c where missing_count > 0",
+    "schema_report": " union all ".join(
+        f"select {i} as ordinal, '{c}' as column_name, (select case type when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz' else lower(type) end from pragma_table_info('ovarian_patient_data') where name = '{c}') as kind, count(*) filter (not ({c} is null{' or isnan(' + c + ')' if c in NUMERIC else ''})) as non_null from ovarian_patient_data"
+        for i, c in enumerate(_COLUMNS)
+    ),
     "dtype_routing": "select (cid)::int as ordinal, name as column_name, case type when 'DOUBLE' then 'numerical' when 'VARCHAR' then 'categorical' when 'BIGINT' then 'passthrough' when 'INTEGER' then 'passthrough' else 'dropped' end as route from pragma_table_info('ovarian_patient_data')",
     "iqr_bounds": f"with {_long(NUMERIC)}, {_QUART} select column_name, round(q1, 6) as q1, round(q3, 6) as q3, round(q1 - 1.5 * (q3 - q1), 6) as low, round(q3 + 1.5 * (q3 - q1), 6) as high from quart",
     "boxplot_summary": f"with {_long(NUMERIC)}, {_QUART}, f as (select *, v between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) as inside from cells join quart using (column_name)) select column_name, round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3, round(min(v), 6) as low, round(max(v), 6) as high, round(min(v) filter (inside), 6) as whisker_low, round(max(v) filter (inside), 6) as whisker_high, count(*) filter (not inside) as outliers from f group by column_name, q1, median, q3",

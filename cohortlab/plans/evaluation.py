@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.operators import labels, losses, metrics, models, scoring, split
-from cohortlab.plans.common import read, rounded, sine_weights
+from cohortlab.operators import balance, labels, losses, metrics, models, networks, scoring, split
+from cohortlab.plans.common import position_sum, read, rounded, sine_weights
 from cohortlab.session import materialize
 
 PHASES = {"head_a": 0, "head_b": 100, "head_c": 200}
@@ -71,10 +71,24 @@ def clinical_vectors(spark, folder):
     return rows.where(~F.exists("x_train", lambda x: x.isNull() | F.isnan(x))).select("vec_id", F.transform("x_train", lambda x: x.cast("double")).alias("x"), "y_train")
 
 
-ENCODER = [scoring.formula_weights(16, CLINICAL), scoring.formula_weights(8, 16, 10), scoring.formula_weights(4, 8, 20)]
+def _layers(widths, inputs, phase):
+    """Formula weights of consecutive layers."""
+    return [scoring.formula_weights(n, m, phase + 10 * i) for i, (n, m) in enumerate(zip(widths, (inputs, *widths)))]
+
+
+ENCODER = _layers(scoring.SHARED["clinical"], CLINICAL, 0)
+BACKBONE, CLASSIFIER = _layers(scoring.SHARED["backbone"], scoring.SHARED["clinical"][-1], 40), scoring.formula_weights(1, scoring.SHARED["backbone"][-1], 60)
+PROJECTION = scoring.formula_weights(scoring.SHARED["image"][1], scoring.SHARED["image"][0], 30)
+MODALITIES = {"clinical": ENCODER, "image": [PROJECTION]}
+
+
+def tiled(features, width, size):
+    """The first ``width`` features repeated up to ``size``: a stand-in for features of the networks' true width."""
+    return F.slice(F.flatten(F.array_repeat(F.slice(features, 1, width), -(-size // width))), 1, size)
 
 
 def clinical_mlp_forward(spark, folder):
+    """The encoder at its true widths; of 512 outputs the first four and the position-weighted sum of all."""
     encode = scoring.network(ENCODER, relu_last=True)
 
     @F.pandas_udf("array<double>")
@@ -82,22 +96,79 @@ def clinical_mlp_forward(spark, folder):
         return pd.Series(list(encode(np.stack(x.to_numpy()).astype(float)))) if len(x) else pd.Series([], dtype=object)
 
     out = clinical_vectors(spark, folder).select("vec_id", forward("x").alias("f"))
-    return rounded(out.select("vec_id", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(4)]))
+    return rounded(out.select("vec_id", *[F.get("f", F.lit(i)).alias(f"f{i}") for i in range(4)], position_sum("f").alias("position_sum")))
+
+
+def _shared_logit(rows, features, name):
+    return rounded(rows.select("vec_id", scoring.shared_backbone(features, scoring.modality(name, MODALITIES), BACKBONE, CLASSIFIER).alias("logit")))
 
 
 def uml_forward_clinical(spark, folder):
-    parts = scoring.modality("clinical", {"clinical": ENCODER[:2], "image": [scoring.formula_weights(8, WIDTH, 30)]})
-    logit = scoring.shared_backbone(F.col("x"), parts, [scoring.formula_weights(6, 8, 40), scoring.formula_weights(4, 6, 50)], scoring.formula_weights(1, 4, 60))
-    return rounded(clinical_vectors(spark, folder).select("vec_id", logit.alias("logit")))
+    return _shared_logit(clinical_vectors(spark, folder), F.col("x"), "clinical")
+
+
+def _image_rows(spark, folder):
+    return read(spark, folder, "embeddings").select("vec_id", labels.binary_label(F.col("label")).alias("y"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+
+
+def uml_forward_image(spark, folder):
+    return _shared_logit(_image_rows(spark, folder), tiled(F.col("e"), WIDTH, scoring.SHARED["image"][0]), "image")
+
+
+def uml_image_evaluation(spark, folder):
+    """The shared model's image path against the image labels, at all thresholds."""
+    rows = _image_rows(spark, folder)
+    logit = scoring.shared_backbone(tiled(F.col("e"), WIDTH, scoring.SHARED["image"][0]), MODALITIES["image"], BACKBONE, CLASSIFIER)
+    scored = rows.where("y is not null").select(F.lit("shared_image").alias("model"), "y", F.round(scoring.sigmoid(logit), 9).alias("p"))
+    return rounded(metrics.threshold_sweep(scored))
 
 
 def late_fusion_forward(spark, folder):
+    image, clinical = scoring.LATE_FUSION["image"], scoring.LATE_FUSION["clinical"]
     logits = scoring.late_fusion(
-        F.slice("x", 1, 24), F.col("x"), ENCODER[:2], scoring.formula_weights(1, 24, 70), scoring.formula_weights(1, 8, 80), scoring.formula_weights(12, 32, 90), scoring.formula_weights(1, 12, 95)
-    )
+        tiled(F.col("x"), 24, image), F.col("x"), _layers(clinical, CLINICAL, 0),
+        scoring.formula_weights(1, image, 70), scoring.formula_weights(1, clinical[-1], 80), scoring.formula_weights(scoring.LATE_FUSION["fusion"], image + clinical[-1], 90), scoring.formula_weights(1, scoring.LATE_FUSION["fusion"], 95),
+    )
     return rounded(clinical_vectors(spark, folder).select("vec_id", logits.alias("l")).select("vec_id", "l.*"))
 
 
+def _head_forward(spark, folder, name, phase):
+    size, hidden, _ = scoring.HEADS[name]
+    run = scoring.network([scoring.formula_weights(hidden, size, phase), scoring.formula_weights(1, hidden, phase + 10)], relu_last=False)
+
+    @F.pandas_udf("double")
+    def forward(x: pd.Series) -> pd.Series:
+        return pd.Series(run(np.stack(x.to_numpy()).astype(float))[:, 0] if len(x) else [], dtype="float64")
+
+    return rounded(_image_rows(spark, folder).select("vec_id", forward(tiled(F.col("e"), WIDTH, size)).alias("logit")))
+
+
+def resnet_head_forward(spark, folder):
+    return _head_forward(spark, folder, "resnet", 200)
+
+
+def vit_head_forward(spark, folder):
+    return _head_forward(spark, folder, "vit", 230)
+
+
+def hybrid_forward(spark, folder):
+    """The hybrid at its true widths; token t of a picture is its vector turned by t places and repeated to the feature width."""
+    size = scoring.HYBRID
+    parts = scoring.hybrid_parts(size["features"], size["model"], size["forward"], size["layers"], size["tokens"])
+    shared = spark.sparkContext.broadcast(parts)  # the model, whose size the data do not change
+
+    @F.pandas_udf("double")
+    def forward(e: pd.Series) -> pd.Series:
+        out = []
+        for begin in range(0, len(e), 32):
+            x = np.stack(e.iloc[begin : begin + 32].to_numpy()).astype(float)
+            tokens = np.stack([np.tile(np.roll(x, -t, axis=1), (1, size["features"] // WIDTH)) for t in range(size["tokens"])], axis=1)
+            out.append(scoring.hybrid_logits(tokens, shared.value, size["heads"]))
+        return pd.Series(np.concatenate(out) if out else [], dtype="float64")
+
+    return rounded(_image_rows(spark, folder).select("vec_id", forward("e").alias("logit")), 5)
+
+
 def layernorm_meanpool(spark, folder):
     rows = read(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     rows = rows.select("vec_id", scoring.layer_norm(scoring.mean_pool(scoring.tokens_of(F.col("e"), 16), 16, skip_first=True)).alias("f"))
@@ -163,21 +234,52 @@ def train_gbt(spark, folder):
     return _trained(spark, folder, models.gradient_boosting())
 
 
+def _paired(spark, folder):
+    """Split pictures and clinical vectors, and their unpaired training pairs, all written once."""
+    images = materialize(split.split_stratified(_image_rows(spark, folder).where("y is not null"), "vec_id", "y"), "image-split")
+    clinical = _split_vectors(spark, folder)
+    sides = []
+    for rows, feature, label, name in ((images, "e", "y", "image"), (clinical, "x", "y_train", "clinical")):
+        train = rows.where("set = 'train'").select("vec_id", F.col(feature).alias(name), F.col(label).cast("int").alias(f"y_{name}"))
+        sides.append(split.ordered_positions(train, split.draw(1, F.col("vec_id")), "idx").drop("vec_id"))
+    return images, clinical, materialize(labels.cyclic_pairs(*sides), "pairs")
+
+
+def _weight(model, *tables):
+    """factor · negatives / positives over the training rows of the tables."""
+    counts = [t.where("set = 'train'").agg(F.count_if(F.col(y) == 0), F.count_if(F.col(y) == 1)).first() for t, y in tables]
+    return balance.POS_WEIGHT_FACTORS[model] * sum(c[0] for c in counts) / max(sum(c[1] for c in counts), 1)
+
+
 def train_late_fusion(spark, folder):
-    rows = _split_vectors(spark, folder)
-    rows = rows.withColumns({"image": F.slice("x", 1, 24), "clinical": F.slice("x", 25, 8)})
-    fitted = models.fit_late_fusion(rows.where("set = 'train'"), rows.where("set = 'test'"), "vec_id", "image", "clinical", "y_train")
-    parts = [fitted.select(F.lit(n).alias("model"), "y", F.col(f"p_{n}").alias("p")) for n in ("image", "clinical", "fusion")]
+    """Late fusion trained as one network on unpaired pairs; each head on its modality's test rows, fusion on pairs of test rows, against the image label."""
+    images, clinical, pairs = _paired(spark, folder)
+    network = networks.LateFusion(WIDTH, CLINICAL, scoring.LATE_FUSION["clinical"], scoring.LATE_FUSION["fusion"])
+    weights = networks.train(pairs, network, "pair", "image", "clinical", "y_image", "y_clinical", _weight("late_fusion", (images, "y")))
+    tests = [split.ordered_positions(t.where("set = 'test'").select("vec_id", F.col(x).alias(name), F.col(y).cast("int").alias(f"y_{name}")), split.draw(1, F.col("vec_id")), "idx").drop("vec_id") for t, x, y, name in ((images, "e", "y", "image"), (clinical, "x", "y_train", "clinical"))]
+    scored = materialize(networks.scored(labels.cyclic_pairs(*tests), network, weights, "image", "clinical", ["pair", "y_image", "y_clinical"]), "scored")
+    parts = [scored.select(F.lit(n).alias("model"), F.col("y_clinical" if n == "clinical" else "y_image").alias("y"), F.col(f"p_{n}").alias("p")) for n in ("image", "clinical", "fusion")]
     return metrics.threshold_sweep(reduce(DataFrame.unionByName, parts))
 
 
+def train_shared_backbone(spark, folder):
+    """The shared backbone trained on both projected modalities, weighted by the classes of both; each modality's test rows."""
+    images, clinical, pairs = _paired(spark, folder)
+    network = networks.SharedBackbone(WIDTH, CLINICAL, scoring.SHARED["clinical"], scoring.SHARED["image"][1], scoring.SHARED["backbone"])
+    weights = networks.train(pairs, network, "pair", "image", "clinical", "y_image", "y_clinical", _weight("shared_backbone", (images, "y"), (clinical, "y_train")))
+    image = networks.scored(images.where("set = 'test'").select(F.col("e").alias("image"), "y"), network, weights, "image", None, ["y"]).select(F.lit("image").alias("model"), "y", F.col("p_image").alias("p"))
+    other = networks.scored(clinical.where("set = 'test'").select(F.col("x").alias("clinical"), F.col("y_train").cast("int").alias("y")), network, weights, None, "clinical", ["y"]).select(F.lit("clinical").alias("model"), "y", F.col("p_clinical").alias("p"))
+    return metrics.threshold_sweep(image.unionByName(other))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         threshold_sweep, confusion_by_threshold, roc_auc, average_precision, classification_report, model_comparison, multiclass_macro,
-        linear_sigmoid_score, clinical_mlp_forward, uml_forward_clinical, late_fusion_forward, layernorm_meanpool,
+        linear_sigmoid_score, clinical_mlp_forward, uml_forward_clinical, uml_forward_image, uml_image_evaluation, late_fusion_forward,
+        resnet_head_forward, vit_head_forward, hybrid_forward, layernorm_meanpool,
         bce_pos_weight, focal_loss, composite_loss, epoch_loss_weighted, epoch_loss_batch_mean, batch_assign,
-        train_logistic_head, train_random_forest, train_gbt, train_late_fusion,
+        train_logistic_head, train_random_forest, train_gbt, train_late_fusion, train_shared_backbone,
     )
 }
 
@@ -210,14 +312,48 @@ _COUNTS = """,
 """
 
 
-def _layer(x: str, outputs: int, inputs: int, phase: int, relu: bool) -> str:
-    """SQL of one layer with formula weights."""
-    unit = f"list_dot_product({x}, list_transform(range({inputs}), lambda i: sin(j * {inputs} + i + {1 + phase}) / sqrt({inputs}))) + sin(j + {1 + phase}) / 10"
-    return f"list_transform(range({outputs}), lambda j: {'greatest(' + unit + ', 0.0::double)' if relu else unit})"
+def _dense(out: str, before: str, outputs: int, inputs: int, phase: int, relu: bool = True) -> str:
+    """CTEs of one layer with formula weights: ``out`` has vec_id and h, from ``before`` with vec_id and h."""
+    value = f"list_dot_product(h, w) + b"
+    return f""", {out}_w as (select j, list_transform(range({inputs}), lambda i: sin(j * {inputs} + i + {1 + phase}) / sqrt({inputs})) as w, sin(j + {1 + phase}) / 10 as b from range({outputs}) t(j)),
+        {out} as (select vec_id, list({f'greatest({value}, 0.0::double)' if relu else value} order by j) as h from {before} cross join {out}_w group by vec_id)"""
+
+
+def _chain(before: str, name: str, widths, inputs: int, phase: int) -> tuple[str, str]:
+    """CTEs of consecutive layers, and the name of the last."""
+    sql = ""
+    for i, (n, m) in enumerate(zip(widths, (inputs, *widths))):
+        sql += _dense(f"{name}{i}", before, n, m, phase + 10 * i)
+        before = f"{name}{i}"
+    return sql, before
+
+
+def _tile(x: str, width: int, size: int) -> str:
+    return f"list_transform(range({size}), lambda i: {x}[i % {width} + 1])"
 
 
 _VECTORS = "v as (select vec_id, x_train::double[] as x from dl_train_data where len(x_train) = 32 and len(list_filter(x_train, lambda e: e is null or isnan(e))) = 0)"
-_ENCODED = f"with {_VECTORS}, a as (select *, {_layer('x', 16, 32, 0, True)} as h1 from v), b as (select *, {_layer('h1', 8, 16, 10, True)} as h2 from a)"
+_X = f"with {_VECTORS}, h as (select vec_id, x as h from v)"
+_E = "with e as (select vec_id, label, embedding::double[] as x from embeddings)"
+_IMAGE, _HEADS = scoring.SHARED["image"], scoring.HEADS
+_ENCODED, _LAST = _chain("h", "enc", scoring.SHARED["clinical"], CLINICAL, 0)
+
+
+def _classified(before: str) -> str:
+    shared, last = _chain(before, "back", scoring.SHARED["backbone"], scoring.SHARED["clinical"][-1], 40)
+    return shared + _dense("logit", last, 1, scoring.SHARED["backbone"][-1], 60, False)
+
+
+_IMAGE_LOGIT = _E + f", h as (select vec_id, {_tile('x', WIDTH, _IMAGE[0])} as h from e)" + _dense("proj", "h", _IMAGE[1], _IMAGE[0], 30) + _classified("proj")
+
+
+def _head_sql(name: str, phase: int) -> str:
+    size, hidden, _ = _HEADS[name]
+    return _E + f", h as (select vec_id, {_tile('x', WIDTH, size)} as h from e)" + _dense("mid", "h", hidden, size, phase) + _dense("logit", "mid", 1, hidden, phase + 10, False) + " select vec_id, round(h[1], 6) as logit from logit"
+
+
+_LF = scoring.LATE_FUSION
+_BRANCH, _BRANCH_LAST = _chain("h", "enc", _LF["clinical"], CLINICAL, 0)
 _SOFTPLUS = "(greatest({0}, 0::double) + ln(1 + exp(-abs({0}))))"
 
 
@@ -258,9 +394,15 @@ ORACLES = {
             round(avg(coalesce(2 * tp / nullif(said + have, 0), 0)), 6) as macro_f1, round(avg(roc_auc), 6) as macro_roc_auc, round(avg(average_precision), 6) as macro_average_precision
         from per_class join area using (model)""",
     "linear_sigmoid_score": _SCORES + "select vec_id, round(z, 6) as z, round(p, 6) as p from s where model = 'head_a'",
-    "clinical_mlp_forward": _ENCODED + f", c as (select vec_id, {_layer('h2', 4, 8, 20, True)} as f from b) select vec_id, round(f[1], 6) as f0, round(f[2], 6) as f1, round(f[3], 6) as f2, round(f[4], 6) as f3 from c",
-    "uml_forward_clinical": _ENCODED + f", c as (select vec_id, {_layer('h2', 6, 8, 40, True)} as s1 from b), d as (select vec_id, {_layer('s1', 4, 6, 50, True)} as s2 from c) select vec_id, round(({_layer('s2', 1, 4, 60, False)})[1], 6) as logit from d",
-    "late_fusion_forward": _ENCODED + f", c as (select vec_id, x[1:24] as im, h2, list_concat(x[1:24], h2) as j0 from b), d as (select *, {_layer('j0', 12, 32, 90, True)} as j1 from c) select vec_id, round(({_layer('im', 1, 24, 70, False)})[1], 6) as image_logit, round(({_layer('h2', 1, 8, 80, False)})[1], 6) as clinical_logit, round(({_layer('j1', 1, 12, 95, False)})[1], 6) as fusion_logit from d",
+    "clinical_mlp_forward": _X + _ENCODED + f" select vec_id, round(h[1], 6) as f0, round(h[2], 6) as f1, round(h[3], 6) as f2, round(h[4], 6) as f3, round(list_sum(list_transform(h, lambda z, i: z * i)), 6) as position_sum from {_LAST}",
+    "uml_forward_clinical": _X + _ENCODED + _classified(_LAST) + " select vec_id, round(h[1], 6) as logit from logit",
+    "uml_forward_image": _IMAGE_LOGIT + " select vec_id, round(h[1], 6) as logit from logit",
+    "uml_image_evaluation": _IMAGE_LOGIT + f", known as (select 'shared_image' as model, {_Y} as y, round(1 / (1 + exp(-h[1])), 9) as p from logit join e using (vec_id) where {_Y} is not null)" + _CURVE + _COUNTS + """select model, threshold, tn, fp, fn, tp, round(accuracy, 6) as accuracy, round(recall, 6) as recall, round("precision", 6) as "precision", round(f1, 6) as f1, round(specificity, 6) as specificity, round(roc_auc, 6) as roc_auc, round(average_precision, 6) as average_precision from rate join area using (model)""",
+    "resnet_head_forward": _head_sql("resnet", 200),
+    "vit_head_forward": _head_sql("vit", 230),
+    "late_fusion_forward": _X + _BRANCH + f""", im as (select vec_id, {_tile('x', 24, _LF["image"])} as h from v)""" + _dense("image_l", "im", 1, _LF["image"], 70, False) + _dense("clinical_l", _BRANCH_LAST, 1, _LF["clinical"][-1], 80, False)
+    + f", joined as (select vec_id, list_concat(im.h, c.h) as h from im join {_BRANCH_LAST} c using (vec_id))" + _dense("fused", "joined", _LF["fusion"], _LF["image"] + _LF["clinical"][-1], 90) + _dense("fusion_l", "fused", 1, _LF["fusion"], 95, False)
+    + " select vec_id, round(image_l.h[1], 6) as image_logit, round(clinical_l.h[1], 6) as clinical_logit, round(fusion_l.h[1], 6) as fusion_logit from image_l join clinical_l using (vec_id) join fusion_l using (vec_id)",
     "layernorm_meanpool": """
         with m as (select vec_id, list_transform(range(16), lambda i: (embedding[17 + i]::double + embedding[33 + i]::double + embedding[49 + i]::double) / 3) as f from embeddings),
         n as (select vec_id, f, list_avg(f) as mu, list_avg(list_transform(f, lambda x: (x - list_avg(f)) * (x - list_avg(f)))) as va from m)

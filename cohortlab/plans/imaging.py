@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlab.operators import balance, tensor
+from cohortlab.operators import balance, split, tensor
 from cohortlab.operators.tensor import position_sum
 from cohortlab.plans.common import read, rounded
 
@@ -41,6 +41,12 @@ def augment_flip(spark, folder):
     return rounded(flipped.select("sample_id", position_sum(F.col("l")).alias("left_right"), position_sum(F.col("t")).alias("top_bottom")), 4)
 
 
+def sample_grid(spark, folder):
+    """Ten random pictures as they would be shown: denormalised."""
+    few = split.sample_random(_images(spark, folder), "sample_id", 10)
+    return rounded(few.select("sample_id", "labels", tensor.denormalize(F.col("images"), PLANE).alias("t")).select("sample_id", "labels", position_sum(F.col("t")).alias("position_sum")), 4)
+
+
 def _pixels(images):
     rgb = tensor.to_bytes_scale(tensor.to_channels_last(tensor.denormalize(F.col("images"), PLANE), CHANNELS, PLANE))
     return images.select("sample_id", "labels", rgb.alias("pixels"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"))
@@ -60,7 +66,7 @@ def image_augment(spark, folder):
     return _summary(tensor.picture_step(copies, "sample_id", "pixels", "width", "height", augment=True, copy="copy"))
 
 
-QUERIES = {f.__name__: f for f in (letterbox_geometry, tensor_denormalize, tensor_normalize, tensor_permute, augment_flip, image_letterbox, image_augment)}
+QUERIES = {f.__name__: f for f in (letterbox_geometry, tensor_denormalize, tensor_normalize, tensor_permute, augment_flip, sample_grid, image_letterbox, image_augment)}
 
 _I = "with i as (select sample_id, images::double[] as x from train_augmented2_data where len(images) = 768)"
 _MEAN = "[0.485, 0.456, 0.406]::double[]"
@@ -78,6 +84,7 @@ ORACLES = {
         r as (select *, least(224::double / width, 224::double / height) as r from s),
         n as (select *, trunc(width * r)::int as nw, trunc(height * r)::int as nh from r)
         select p_partkey, width, height, nw as new_width, nh as new_height, ((224 - nw) // 2)::int as "left", ((224 - nh) // 2)::int as top from n""",
+    "sample_grid": f"with i as (select sample_id, labels, images::double[] as x from train_augmented2_data where len(images) = 768 order by md5('42:' || sample_id), sample_id limit 10) select sample_id, labels, {_sum(_DENORM)} as position_sum from i",
     "tensor_denormalize": f"{_I} select sample_id, {_sum(_DENORM)} as position_sum from i",
     "tensor_normalize": f"{_I}, p as (select sample_id, list_transform({_DENORM}, lambda v: round(v * 255)) as x from i), q as (select sample_id, list_transform(x, lambda v, k: (v / 255 - ({_MEAN})[(k - 1) // 256 + 1]) / ({_STD})[(k - 1) // 256 + 1]) as x from p) select sample_id, {_sum('x')} as position_sum from q",
     "tensor_permute": f"{_I} select sample_id, {_sum('list_transform(range(768), lambda j: x[(j % 3) * 256 + j // 3 + 1])')} as channels_last, {_sum('x')} as channels_first from i",

@@ -61,3 +61,35 @@ def test_epoch_means(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 2.0), (0, 3.0), (1, 10.0)], "batch int, loss double")
     assert losses.epoch_weighted(df, "batch", "loss").first().epoch_loss == 4.0
     assert losses.epoch_batch_mean(df, "batch", "loss").first().epoch_loss == 6.0
+
+
+def test_gelu_and_encoder_layer():
+    from math import erf
+
+    x = np.linspace(-6, 6, 401)
+    assert np.abs(scoring.gelu(x) - [0.5 * v * (1 + erf(v / 2**0.5)) for v in x]).max() < 2e-6
+    rng = np.random.default_rng(0)
+    parts = scoring.hybrid_parts(6, 8, 10, 2, 3)
+    pictures = rng.normal(size=(4, 3, 6))
+    got = scoring.hybrid_logits(pictures, parts, 2)
+
+    def norm(v):
+        return (v - v.mean()) / np.sqrt(v.var() + 1e-5)
+
+    for picture, logit in zip(pictures, got):
+        tokens = [parts["first"]] + [parts["project"][0] @ t + parts["project"][1] for t in picture]
+        tokens = [t + p for t, p in zip(tokens, parts["positions"])]
+        for layer in parts["layers"]:
+            q, k, v = ([layer[n][0] @ t + layer[n][1] for t in tokens] for n in ("query", "key", "value"))
+            mixed = []
+            for i in range(4):
+                heads = []
+                for h in (slice(0, 4), slice(4, 8)):
+                    w = np.exp([q[i][h] @ k[j][h] / 2 for j in range(4)])
+                    heads.append(sum(a * v[j][h] for j, a in enumerate(w / w.sum())))
+                mixed.append(layer["out"][0] @ np.concatenate(heads) + layer["out"][1])
+            tokens = [norm(t + m) for t, m in zip(tokens, mixed)]
+            tokens = [norm(t + layer["down"][0] @ scoring.gelu(layer["up"][0] @ t + layer["up"][1]) + layer["down"][1]) for t in tokens]
+        pooled = np.mean([norm(t) for t in tokens[1:]], axis=0)
+        hidden = np.maximum(parts["head"][0][0] @ pooled + parts["head"][0][1], 0)
+        assert logit == pytest.approx((parts["head"][1][0] @ hidden + parts["head"][1][1])[0], abs=1e-9)
