@@ -15,15 +15,17 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def _samples(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, DataFrame]]:
+def _requested(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, DataFrame, DataFrame]]:
+    """(source table, requests, records, targets)."""
     requests, targets = _read(spark, folder, "sample_requests"), _read(spark, folder, "target_shares")
     clinical = _read(spark, folder, "ovarian_patient_data").select(F.col("load_id").alias("batch_id"), F.col("record_id").alias("key"), F.col("risklabel").alias("category"))
     images = _read(spark, folder, "train_cls").select(F.col("list_id").alias("batch_id"), sampling.stem(F.col("filename")).alias("key"), F.col("label").alias("category"))
-    out = []
-    for source, records in (("ovarian_patient_data", clinical), ("train_cls", images)):
-        own = F.col("source_table") == source
-        out.append((source, *sampling.sample(requests.where(own), records, targets.where(own))))
-    return out
+    own = lambda df, source: df.where(F.col("source_table") == source)
+    return [(source, own(requests, source), records, own(targets, source)) for source, records in (("ovarian_patient_data", clinical), ("train_cls", images))]
+
+
+def _samples(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, DataFrame]]:
+    return [(source, *sampling.sample(*tables)) for source, *tables in _requested(spark, folder)]
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,7 +34,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     """Need, available, sampled and share of every request and category, and which needs were not met."""
-    return reduce(DataFrame.unionByName, [report for _, _, report in _samples(spark, folder)])
+    return reduce(DataFrame.unionByName, [sampling.report(*tables) for _, *tables in _requested(spark, folder)])
 
 
 def p1_check(spark: SparkSession, folder: str) -> DataFrame:

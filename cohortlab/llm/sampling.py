@@ -96,6 +96,20 @@ def sample(requests: DataFrame, records: DataFrame, targets: DataFrame) -> tuple
     category, target_pct, min_keep. The sample has request_id, batch_id, key;
     the report a row per request and category of its target set.
     """
+    signed, counts, solved, kinds = _solved(requests, records, targets)
+    quotas = solved.select("request_id", "batch_id", F.explode("quota").alias("_q")).select("request_id", "batch_id", "_q.signature", "_q.take").where("take > 0")
+    drawn = draw(signed, quotas, counts)
+    return drawn.withColumn("batch_id", F.col("batch_id").cast(kinds["batch_id"])), _report(solved, kinds)
+
+
+def report(requests: DataFrame, records: DataFrame, targets: DataFrame) -> DataFrame:
+    """The report of ``sample`` without drawing the records."""
+    _, _, solved, kinds = _solved(requests, records, targets)
+    return _report(solved, kinds)
+
+
+def _solved(requests: DataFrame, records: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, str]]:
+    """Records with their signatures, counts per batch and signature, and per request the repaired counts."""
     kinds = {"batch_id": dict(requests.dtypes)["batch_id"], "category": dict(targets.dtypes)["category"]}
     # batches and categories of any type travel as text
     requests, records, targets = (df.withColumns({c: F.col(c).cast("string") for c in kinds if c in df.columns}) for df in (requests, records, targets))
@@ -139,7 +153,11 @@ def sample(requests: DataFrame, records: DataFrame, targets: DataFrame) -> tuple
 
     schema = "request_id long, batch_id string, sampled_size long, quota array<struct<signature:array<string>,n:bigint,take:bigint>>, lines array<struct<category:string,need:bigint,available:bigint,sampled:bigint>>"
     solved = materialize(tasks.repartition("request_id").mapInPandas(solve, schema), "quotas")
-    report = (
+    return signed, counts, solved, kinds
+
+
+def _report(solved: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    return (
         solved.select("request_id", "sampled_size", F.explode("lines").alias("_l"))
         .select("request_id", "sampled_size", "_l.*")
         .withColumn("category", F.col("category").cast(kinds["category"]))
@@ -148,9 +166,6 @@ def sample(requests: DataFrame, records: DataFrame, targets: DataFrame) -> tuple
         .withColumn("short", F.greatest(F.col("need") - F.col("sampled"), F.lit(0)))
         .withColumn("sampled_pct", 100 * F.try_divide("sampled", "sampled_size"))
     )
-    quotas = solved.select("request_id", "batch_id", F.explode("quota").alias("_q")).select("request_id", "batch_id", "_q.signature", "_q.take").where("take > 0")
-    drawn = draw(signed, quotas, counts)
-    return drawn.withColumn("batch_id", F.col("batch_id").cast(kinds["batch_id"])), report
 
 
 def draw(signed: DataFrame, quotas: DataFrame, counts: DataFrame) -> DataFrame:
