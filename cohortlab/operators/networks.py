@@ -41,6 +41,14 @@ def initial(widths: dict[str, tuple[int, int]], seed: int = 42) -> Weights:
     return out
 
 
+def trainable(weights: Weights, frozen: Sequence[str] = ()) -> list[str]:
+    """Names of the parameters that are trained: all but those of frozen layers, an unknown one of which is an error."""
+    layers = {name.rsplit(".", 1)[0] for name in weights}
+    if unknown := set(frozen) - layers:
+        raise ValueError(f"unknown layers: {sorted(unknown)}")
+    return [name for name in weights if name.rsplit(".", 1)[0] not in frozen]
+
+
 class Pass:
     """One forward pass that remembers what the backward pass needs."""
 
@@ -133,7 +141,7 @@ class LateFusion:
         return run.grads
 
 
-def _epoch(network, weights: Weights, arrays: Sequence[np.ndarray], pos_weight: float, rng: np.random.Generator, step: float) -> Weights:
+def _epoch(network, weights: Weights, arrays: Sequence[np.ndarray], pos_weight: float, rng: np.random.Generator, step: float, trained: Sequence[str]) -> Weights:
     """Mini-batches with Adam and weight decay over the rows in random order."""
     weights = {k: v.copy() for k, v in weights.items()}
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
@@ -142,8 +150,8 @@ def _epoch(network, weights: Weights, arrays: Sequence[np.ndarray], pos_weight:
     for t, begin in enumerate(range(0, max(n - BATCH + 1, 1) if n else 0, BATCH), start=1):
         at = order[begin : begin + BATCH]
         grads = network.gradients(weights, *(a[at] for a in arrays), pos_weight)
-        for k, g in grads.items():
-            g = g + DECAY * weights[k]
+        for k in trained:
+            g = grads[k] + DECAY * weights[k]
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.001 * (g * g - second[k])
             weights[k] -= step * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
@@ -170,10 +178,11 @@ def _average(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [0], "n": [total], "weights": [mean.astype(np.float32).tobytes()]})
 
 
-def train(rows: DataFrame, network, key: str, image: str, clinical: str, y_image: str, y_clinical: str, pos_weight: float, epochs: int = EPOCHS, step: float = STEP, seed: int = 42) -> Weights:
-    """Train on paired rows; each shard's result is a row of flat weights, averaged in two steps."""
+def train(rows: DataFrame, network, key: str, image: str, clinical: str, y_image: str, y_clinical: str, pos_weight: float, epochs: int = EPOCHS, step: float = STEP, seed: int = 42, frozen: Sequence[str] = ()) -> Weights:
+    """Train on paired rows; each shard's result is a row of flat weights, averaged in two steps. Layers named in ``frozen`` keep their weights."""
     spark = rows.sparkSession
     weights = initial(network.sizes, seed)
+    trained = trainable(weights, frozen)
     known = rows.select(key, *[F.transform(F.col(c), lambda x: x.cast("double")).alias(c) for c in (image, clinical)], y_image, y_clinical).dropna()
     known = materialize(known.where(~F.exists(image, lambda x: x.isNull() | F.isnan(x)) & ~F.exists(clinical, lambda x: x.isNull() | F.isnan(x))), "training-rows")
     n = known.count()
@@ -185,7 +194,7 @@ def train(rows: DataFrame, network, key: str, image: str, clinical: str, y_image
             frame = frame.sort_values(key, kind="stable")
             arrays = [np.stack(frame[c].to_numpy()).astype(np.float32) for c in (image, clinical)] + [frame[c].to_numpy(np.float32) for c in (y_image, y_clinical)]
             shard = int(frame["_shard"].iloc[0])
-            moved = _epoch(network, shared.value, arrays, pos_weight, np.random.default_rng([seed, epoch, shard]), step)
+            moved = _epoch(network, shared.value, arrays, pos_weight, np.random.default_rng([seed, epoch, shard]), step, trained)
             return pd.DataFrame({"part": [shard % FAN], "n": [len(frame)], "weights": [_flat(moved)]})
 
         return run

@@ -21,6 +21,7 @@ values and have a standard error of 0.8 % beyond.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -140,14 +141,14 @@ def merge_states(state: DataFrame, key: str, suite: Suite) -> DataFrame:
     )
 
 
-def add_to_store(df: DataFrame, store: str, key: str, columns: Sequence[str], suite: Suite, row_key: str | None = None) -> None:
-    """Append the states of new rows to the store, a folder of states; rows profiled before are not read again."""
-    states(df, key, columns, suite, row_key).write.mode("append").parquet(store)
+def add_to_store(df: DataFrame, store: str, key: str, columns: Sequence[str], suite: Suite, row_key: str | None = None, batch: int | str | None = None) -> None:
+    """Add the states of new rows to the store, a folder of states; rows profiled before are not read again. A ``batch`` that is added again replaces what it added before."""
+    states(df, key, columns, suite, row_key).write.mode("overwrite").parquet(f"{store}/batch={uuid.uuid4().hex if batch is None else batch}")
 
 
 def stored_states(spark: SparkSession, store: str, key: str, suite: Suite) -> DataFrame:
     """The merged states of everything added to the store so far."""
-    return merge_states(spark.read.parquet(store), key, suite)
+    return merge_states(spark.read.parquet(store).drop("batch"), key, suite)
 
 
 def _prior(state: DataFrame, loads: DataFrame, key: str) -> DataFrame:

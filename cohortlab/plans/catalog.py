@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlab.plans import clinical, evaluation, imaging, quality
+from cohortlab.plans import clinical, evaluation, files, imaging, quality
 
-MODULES = (evaluation, clinical, imaging, quality)
+MODULES = (evaluation, clinical, imaging, quality, files)
 
 
 def queries() -> dict:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab.operators.labels import binary_label, stem
-from cohortlab.session import materialize
+from cohortlab.session import hadoop_fs, materialize
 
 FOLDERS = ("OTU_2d", "OTU_3d")
 
@@ -23,6 +23,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 
 
+def require_folder(spark: SparkSession, path: str) -> str:
+    """The path, if there is a folder; an error that names it if not."""
+    fs, at = hadoop_fs(spark, path)
+    if not (fs.exists(at) and fs.getFileStatus(at).isDirectory()):
+        raise FileNotFoundError(f"no such folder: {path}")
+    return path
+
+
 def label_fields(line: Column) -> tuple[Column, Column]:
     """File name and code of a blank-separated line; the code is null if it is no whole number."""
     parts = F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), r"\s+")
@@ -56,7 +64,7 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
                 found = [f for f in system.get_file_info(fs.FileSelector(inside)) if not f.base_name.startswith(("_", "."))]
                 yield pd.DataFrame({"path": [f"{parent.rstrip('/')}/{f.base_name}" for f in found], "is_folder": [f.type == fs.FileType.Directory for f in found]})
 
-    files, level = None, spark.createDataFrame([(folder,)], "path string")
+    files, level = None, spark.createDataFrame([(require_folder(spark, folder),)], "path string")
     while True:
         listed = materialize(level.mapInPandas(children, "path string, is_folder boolean"), "listing")
         here = listed.where(~F.col("is_folder")).select("path")
@@ -84,7 +92,7 @@ def suffix_counts(files: DataFrame) -> DataFrame:
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, width, height, pixels array<int> H,W,C in red, green, blue order); files that do not decode are left out, grey and four-channel pictures become three."""
-    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
+    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(require_folder(spark, folder))
     bands = images.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("bands"), F.col("image.data").alias("data"))
 
     @F.pandas_udf("array<int>")

@@ -53,3 +53,14 @@ def test_no_rows_leave_the_initial_weights(spark):
     network = networks.LateFusion(6, 4, (5,), 3)
     weights = networks.train(df, network, "id", "image", "clinical", "y", "c", 1.0)
     assert all((weights[k] == v).all() for k, v in networks.initial(network.sizes).items())
+
+
+def test_frozen_layers_keep_their_weights(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=3).tolist(), rng.normal(size=3).tolist(), i % 2, i % 2) for i in range(70)], "id long, image array<double>, clinical array<double>, y int, c int")
+    network = networks.SharedBackbone(3, 3, (4,), 4, (3,))
+    before = networks.initial(network.sizes)
+    after = networks.train(df, network, "id", "image", "clinical", "y", "c", 1.0, epochs=1, step=0.01, frozen=("project", "encode0"))
+    assert {k for k in before if not (before[k] == after[k]).all()} == {"share0.w", "share0.b", "classify.w", "classify.b"}
+    with pytest.raises(ValueError):
+        networks.trainable(before, ("layer4",))

@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from cohortlab.operators import profiling
+from cohortlab.streaming.profile import profile_stream
 
 RECORDS = "row_id long, load_id long, record_timestamp string, risklabel long, age double"
 LOADS = "load_id long, site_id string, prior_load_id long, loaded_at timestamp"
@@ -98,6 +99,24 @@ def test_a_load_is_added_without_reading_the_old_ones(spark, tmp_path):
     assert {r.key_id for r in profiling.violations(spark.read.parquet(store)).where("column_name = 'risklabel'").collect()} == {i for i in range(90) if i % 6 > 3}
 
 
+def test_a_stream_adds_its_states(spark, tmp_path):
+    rows = [(i, i % 3, f"2020-01-0{1 + i % 5} 00:00:00", i % 6, float(i)) for i in range(90)]
+    chain = loads(spark, (0, None, 5), (1, 0, 6), (2, 1, 7))
+    table, suite, columns, store = spark.createDataFrame(rows, RECORDS), profiling.clinical_suite(), ["record_timestamp", "risklabel"], str(tmp_path / "store")
+    for k in range(3):
+        table.where(F.col("row_id") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = profiling.with_load_time(spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), chain)
+    query = profile_stream(stream, store, "load_id", columns, suite, "row_id").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    whole = profiling.merge_states(profiling.states(profiling.with_load_time(table, chain), "load_id", columns, suite), "load_id", suite)
+    shown = lambda state: sorted(map(str, profiling.metrics(state, chain, "load_id").collect()))
+    assert shown(profiling.stored_states(spark, store, "load_id", suite)) == shown(whole)
+    one = profiling.with_load_time(table.where("row_id % 3 = 0"), chain)
+    for _ in range(2):
+        profiling.add_to_store(one, str(tmp_path / "twice"), "load_id", columns, suite, batch="a")
+    assert profiling.stored_states(spark, str(tmp_path / "twice"), "load_id", suite).agg(F.max("n_rows")).first()[0] == 30
+
+
 def test_long_texts_and_whole_numbers_are_exact(spark):
     df = spark.createDataFrame([(1, "a" * 70 + "x", 2**60 + 1), (1, "a" * 70 + "b", 2**60 + 3)], "load_id long, t string, n long")
     suite = profiling.Suite()

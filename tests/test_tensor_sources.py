@@ -3,10 +3,11 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlab.operators import models, tensor
-from cohortlab.sources import readers, writers
+from cohortlab.sources import npz, readers, writers
 from cohortlab.streaming.scoring import cap_stream, score_stream
 
 
@@ -127,6 +128,26 @@ def test_csv_npz_and_writer(spark, tmp_path):
     assert sorted(p for p in os.listdir(tmp_path / "out") if "=" in p) == ["set=test", "set=train"]
 
 
+def test_npz_writer_splits_and_reads_back(spark, tmp_path):
+    x = np.random.default_rng(0).normal(size=(25, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)] + [(90, None, 1), (91, [1.0] * 6, None)], "id long, v array<float>, y long").coalesce(1)
+    assert writers.write_npz(df, str(tmp_path / "npz"), "v", "y", rows=10) == 25
+    assert sorted(os.listdir(tmp_path / "npz")) == [f"part-00000-0000{i}.npz" for i in range(3)]
+    rows = readers.read_npz(spark, str(tmp_path / "npz")).collect()
+    assert sorted(tuple(r["values"]) for r in rows) == sorted(map(tuple, x.tolist())) and sum(r.label for r in rows) == 12
+    assert writers.write_npz(df.limit(0), str(tmp_path / "none"), "v", "y") == 0
+    npz.register(spark)
+    again = spark.read.format("npz").load(str(tmp_path / "npz")).collect()
+    assert sorted((tuple(r["values"]), r.label) for r in again) == sorted((tuple(r["values"]), r.label) for r in rows)
+    assert spark.read.format("npz").load(str(tmp_path / "npz/part-00000-00002.npz")).count() == 5
+
+
+def test_missing_folders_are_named(spark, tmp_path):
+    for read in (readers.list_files, readers.read_images):
+        with pytest.raises(FileNotFoundError, match="nowhere"):
+            read(spark, str(tmp_path / "nowhere"))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     table = spark.createDataFrame([(i, [float(i), 1.0], float(i)) for i in range(20)], "id long, x array<double>, v double")
     table.repartition(3).write.parquet(str(tmp_path / "in"))
