@@ -31,11 +31,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.llm.syllables import syllables
@@ -47,8 +47,6 @@ MIN_WORDS = 60
 BANNER_TEXTS, BANNER_EDGE = 5, 0.9
 #: Words whose syllables and likelihood a worker remembers.
 REMEMBERED = 200_000
-#: Reference passages the language profile is fitted on at most.
-PROFILE_TEXTS = 5000
 #: Mean likelihood of a letter (log2) from which a text is English, and from which it is if this share of its words is frequent in every band; letters of other scripts there may be.
 SURELY, MAYBE, FREQUENT_SHARE, OTHER_SHARE = -3.3, -4.2, 0.12, 0.05
 #: Words of a band's most frequent ones that must be so in every band.
@@ -83,18 +81,6 @@ class Profile:
             self.letters[triple[2]] += n
         self.total = sum(self.letters.values())
 
-    @classmethod
-    def fit(cls, passages: list[tuple[object, str]]) -> "Profile":
-        """``passages``: (band, text)."""
-        triples, bands = Counter(), defaultdict(Counter)
-        for band, text in passages:
-            for word, n in Counter(WORD.findall(cleaned(text).lower())).items():
-                bands[band][word] += n
-                for i in range(len(word)):
-                    triples[f" {word} "[i : i + 3]] += n
-        common = [{w for w, _ in words.most_common(FREQUENT)} for words in bands.values()]
-        return cls(dict(triples), frozenset(set.intersection(*common) if common else ()))
-
     def likelihood(self, word: str) -> float:
         """log2 of the probabilities of all letters of a word and the blank after it, but for its first letter's."""
         total, marked = 0.0, f" {word} "
@@ -216,9 +202,20 @@ def _with_own_banners(documents: DataFrame, text: str, digests: DataFrame, name:
 
 
 def fit_profile(references: DataFrame) -> Profile:
-    """The language profile of ``PROFILE_TEXTS`` reference passages at most, by a hash of the text."""
-    some = references.select(F.col("level_band").alias("band"), "text").where("text is not null").orderBy(F.xxhash64("text"), "text").limit(PROFILE_TEXTS)
-    return Profile.fit([(r["band"], r["text"]) for r in some.collect()])
+    """The language profile of all reference passages. Words are counted in the executors; the driver gets letter triples and ``FREQUENT`` words at most. Equally frequent words rank by the first passage, by its hash, that has them, and their place in it."""
+
+    @F.pandas_udf("array<struct<word:string,n:bigint,place:bigint>>")
+    def words_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"word": word, "n": n, "place": i} for i, (word, n) in enumerate(Counter(WORD.findall(cleaned(text).lower())).items())] for text in texts])
+
+    listed = references.where("text is not null").select(F.col("level_band").alias("band"), F.xxhash64("text").alias("_h"), F.explode(words_of("text")).alias("_w"))
+    words = materialize(listed.groupBy("band", "_w.word").agg(F.sum("_w.n").alias("n"), F.min(F.struct("_h", "_w.place")).alias("first")), "reference-words")
+    triple = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.concat(F.lit(" "), "word", F.lit(" ")), i, F.lit(3))))
+    triples = {r["triple"]: r["n"] for r in words.select(triple.alias("triple"), "n").groupBy("triple").agg(F.sum("n").alias("n")).collect()}  # 27 ** 3 at most
+    rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("n"), "first", "word"))
+    top = words.withColumn("_rn", rank).where(F.col("_rn") <= FREQUENT)
+    everywhere = top.groupBy("word").agg(F.count(F.lit(1)).alias("bands")).where(F.col("bands") == words.select("band").distinct().count())
+    return Profile(triples, frozenset(r["word"] for r in everywhere.collect()))
 
 
 MEASURES = "n_words double, n_sentences double, n_syllables double, n_long double, n_letters double, is_english boolean"

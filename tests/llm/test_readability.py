@@ -53,6 +53,15 @@ def test_measures_against_plain_counting(spark):
     assert (row.n_words, row.n_sentences, row.n_letters) == (6, 3, 22)
 
 
+def test_the_profile_counts_every_passage(spark):
+    many = spark.range(6000).selectExpr("id % 3 as level_band", "concat('the ', if(id % 2 = 0, 'ab', 'cyst'), if(id % 3 = 0, ' low', '')) as text").unionByName(spark.sql("select 1L level_band, cast(null as string) text"))
+    profile = r.fit_profile(many)
+    assert profile.total == 6000 * 3 + 3000 * 2 + 3000 * 4 + 2000 * 3
+    assert {t: profile.triples[t] for t in (" th", "he ", " ab", "ab ", "yst", "ow ")} == {" th": 6000, "he ": 6000, " ab": 3000, "ab ": 3000, "yst": 3000, "ow ": 2000}
+    assert profile.frequent == {"the", "ab", "cyst"}
+    assert r.fit_profile(many.limit(0)).total == 0
+
+
 def test_banners_do_not_count(spark):
     banner = "This communication is intended exclusively for the designated recipient and may contain confidential information."
     docs = table(spark, [f"{banner}\n{EASY}no {i}. {'x' * i}" for i in range(30)] + [EASY] * 3)
