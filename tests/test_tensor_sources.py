@@ -95,6 +95,42 @@ def test_picture_step(spark):
     assert plain == rows[0]
 
 
+def test_sums_equal_those_of_the_tensors(spark):
+    rng = np.random.default_rng(5)
+    shapes = [(6, 4), (16, 16), (3, 9)]
+    rows = [(i, rng.integers(0, 256, w * h * 3).tolist(), w, h, i % 3) for i, (w, h) in enumerate(shapes * 20)] + [(90, None, 6, 4, 0), (91, [1, 2], 6, 4, 1), (92, [7] * 72, None, 4, 1)]
+    df = spark.createDataFrame(rows, "id long, d array<int>, w int, h int, copy int")
+    tensors = {r.id: np.frombuffer(r.tensor, dtype=np.uint8).astype(np.int64) for r in tensor.picture_step(df, "id", "d", "w", "h", augment=True, copy="copy").collect()}
+    sums = {r.id: (r.n_values, r.position_sum) for r in tensor.picture_step(df, "id", "d", "w", "h", augment=True, copy="copy", sums=True).collect()}
+    assert set(tensors) == set(range(60))
+    assert sums == {i: (len(t), float((t * np.arange(1, len(t) + 1)).sum())) for i, t in tensors.items()}
+
+
+def test_picture_queries_keep_tensors_in_the_worker(spark, monkeypatch):
+    """10,000 tensors of 150 KB in one Arrow batch are 1.5 GB."""
+    from cohortlab.plans import imaging
+
+    few = spark.createDataFrame([(1, 1, [0.1] * 768), (2, 0, [-3.0 + k / 100 for k in range(768)])], "sample_id long, labels long, images array<float>").withColumn("aug_k", F.lit(0))
+    monkeypatch.setattr(imaging, "_images", lambda spark, folder: few)
+    for query, n in ((imaging.image_augment, 26),):
+        df = query(spark, "")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "binary" not in df._jdf.queryExecution().analyzed().toString() and "ArrowEvalPython" not in plan and df.count() == n
+    pixels = tensor.to_bytes_scale(tensor.to_channels_last(tensor.denormalize(F.col("images"), 256), 3, 256))
+    for r in few.select("images", pixels.alias("p")).collect():
+        assert tensor.pixels_of(np.array([r.images]), 256).ravel().tolist() == r.p
+
+
+def test_large_pictures_come_in_small_parts(spark, monkeypatch):
+    seen, whole = [], tensor.letterbox_stack
+    monkeypatch.setattr(tensor, "letterbox_stack", lambda p, target: seen.append(p.size) or whole(p, target))
+    df = spark.createDataFrame([(i, [0] * (300 * 300 * 3), 300, 300) for i in range(20)], "id long, d array<int>, w int, h int")
+    held = df.toArrow().to_batches()
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: list(run(iter(held))))
+    parts = tensor.picture_step(df, "id", "d", "w", "h")
+    assert sum(p.num_rows for p in parts) == 20 and max(seen) <= tensor.PART_VALUES
+
+
 def test_readers(spark, tmp_path):
     root = tmp_path / "data"
     for folder in ("OTU_2d/images", "OTU_3d/annotations"):
