@@ -112,7 +112,7 @@ def test_picture_queries_keep_tensors_in_the_worker(spark, monkeypatch):
 
     few = spark.createDataFrame([(1, 1, [0.1] * 768), (2, 0, [-3.0 + k / 100 for k in range(768)])], "sample_id long, labels long, images array<float>").withColumn("aug_k", F.lit(0))
     monkeypatch.setattr(imaging, "_images", lambda spark, folder: few)
-    for query, n in ((imaging.image_augment, 26),):
+    for query, n in ((imaging.image_letterbox, 2), (imaging.image_augment, 26)):
         df = query(spark, "")
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "binary" not in df._jdf.queryExecution().analyzed().toString() and "ArrowEvalPython" not in plan and df.count() == n
