@@ -8,6 +8,8 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlab.operators import forest
+
 #: Settings of the tree models (fixed values): 300 trees; boosting depth 6, step 0.05, 0.8 of the rows, 0.7 of the columns; forest class weights 1 to 4, seed 42. A forest here is at most 30 deep.
 TREES, BOOST_DEPTH, BOOST_STEP, BOOST_ROWS, BOOST_COLUMNS, FOREST_WEIGHT, FOREST_DEPTH, SEED = 300, 6, 0.05, 0.8, "0.7", 4.0, 30, 42
 
@@ -40,7 +42,9 @@ def mlp_head(inputs: int, hidden: tuple[int, ...] = (512,), iterations: int = 50
 
 
 def fit_scores(train: DataFrame, test: DataFrame, classifier, key: str, features: str, label: str, positive_weight: float | None = None) -> DataFrame:
-    """Fit on ``train``; (key, y, p) on ``test``."""
+    """Fit on ``train``; (key, y, p) on ``test``. Forests are grown and applied in the executors."""
+    if isinstance(classifier, RandomForestClassifier):
+        return forest.scores(train, test, classifier, key, features, label, positive_weight)
     model = classifier.fit(prepared(train, features, label, positive_weight).withColumn("label", F.col(label).cast("double")))
     scored = model.transform(prepared(test, features, label, 1.0).withColumn("label", F.col(label).cast("double")))
     return scored.select(key, F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
