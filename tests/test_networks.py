@@ -64,3 +64,19 @@ def test_frozen_layers_keep_their_weights(spark):
     assert {k for k in before if not (before[k] == after[k]).all()} == {"share0.w", "share0.b", "classify.w", "classify.b"}
     with pytest.raises(ValueError):
         networks.trainable(before, ("layer4",))
+
+
+def test_adam_steps_are_in_place_and_in_blocks(monkeypatch):
+    """Steps over a whole layer at once made a dozen arrays of its size a batch."""
+    monkeypatch.setattr(networks, "ADAM_BLOCK", 7)
+    rng = np.random.default_rng(6)
+    w, m, v = (rng.random(40).astype(np.float32) for _ in range(3))
+    held, want = (w, m, v), [x.copy() for x in (w, m, v)]
+    for t in (1, 2, 3):
+        grads = rng.normal(size=40).astype(np.float32)
+        g = grads + networks.DECAY * want[0]
+        want[1] += 0.1 * (g - want[1])
+        want[2] += 0.001 * (g * g - want[2])
+        want[0] -= 0.01 * (want[1] / (1 - 0.9**t)) / (np.sqrt(want[2] / (1 - 0.999**t)) + 1e-8)
+        networks._adam(w, grads, m, v, 0.01, t)
+    assert all((a == b).all() for a, b in zip(held, want))
